@@ -50,7 +50,7 @@ def accepted(candidates: DataFrame) -> DataFrame:
 
 
 def excluded(candidates: DataFrame) -> DataFrame:
-    wording = F.create_map(*[F.lit(x) for pair in REASON_TEXT.items() for x in pair])
+    wording = vocab.literal_map(REASON_TEXT)
     return (
         candidates.select("comment_id", exclusion_reason().alias("reason_code"))
         .filter("reason_code is not null")

@@ -20,29 +20,32 @@ UNKNOWN = "unknown"
 _TYPES = [*vocab.RESPONSE_TYPES, UNKNOWN]
 
 
-def _counts(prefix: str, values, column: Column) -> list[Column]:
-    return [F.count_if(column == v).alias(f"{prefix}_{v}") for v in values]
+def _counts(prefix: str, values, column: str) -> list[Column]:
+    return [F.expr(f"count_if({column} <=> '{v}') AS {prefix}_{v}") for v in values]
+
+
+def _sums(columns) -> list[Column]:
+    return [F.expr(f"sum({c}) AS {c}") for c in columns]
 
 
 def commenter_rollup(rows: DataFrame) -> DataFrame:
     """One row per (question, commenter): submissions, positions, positions by
     stance and by response type.  Columns nobody reads are pruned by Catalyst."""
-    kind = F.coalesce("response_type", F.lit(UNKNOWN))
     per_submission = rows.groupBy("question_id", "commenter_id", "stakeholder_type", "submission_id").agg(
         F.count("*").alias("positions"),
-        *_counts("stance", vocab.STANCES, F.col("stance")),
-        *_counts("type", _TYPES, kind),
+        *_counts("stance", vocab.STANCES, "stance"),
+        *_counts("type", _TYPES, f"coalesce(response_type, '{UNKNOWN}')"),
     )
     summed = ["positions", *[f"stance_{s}" for s in vocab.STANCES], *[f"type_{t}" for t in _TYPES]]
     return per_submission.groupBy("question_id", "commenter_id", "stakeholder_type").agg(
-        F.count("*").alias("submissions"), *[F.sum(c).alias(c) for c in summed]
+        F.count("*").alias("submissions"), *_sums(summed)
     )
 
 
-def _ordered_map(values, count_of) -> Column:
+def _ordered_map(values, prefix: str) -> Column:
     """``id -> count`` in vocabulary order, zero counts left out."""
-    pairs = [x for v in values for x in (F.lit(v), count_of(v))]
-    return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
+    pairs = ", ".join(f"'{v}', coalesce({prefix}_{v}, 0L)" for v in values)
+    return F.expr(f"map_filter(map({pairs}), (id, n) -> n > 0)")
 
 
 def _question_totals(rollup: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,10 +54,10 @@ def _question_totals(rollup: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("distinct_commenters"),
         F.sum("submissions").alias("distinct_submissions"),
         F.sum("positions").alias("positions"),
-        *_counts("group", vocab.STAKEHOLDER_TYPES, F.col("stakeholder_type")),
-        *[F.sum(f"stance_{s}").alias(f"stance_{s}") for s in vocab.STANCES],
-        *[F.count_if(F.col(f"type_{t}") > 0).alias(f"by_commenters_{t}") for t in _TYPES],
-        *[F.sum(f"type_{t}").alias(f"by_positions_{t}") for t in _TYPES],
+        *_counts("group", vocab.STAKEHOLDER_TYPES, "stakeholder_type"),
+        *_sums(f"stance_{s}" for s in vocab.STANCES),
+        *[F.expr(f"count_if(type_{t} > 0) AS by_commenters_{t}") for t in _TYPES],
+        *[F.expr(f"sum(type_{t}) AS by_positions_{t}") for t in _TYPES],
     )
 
 
@@ -73,7 +76,7 @@ def _zero(name: str) -> Column:
 def question_stats(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """Per-question counts, maps and eligibility; every question has a row."""
     totals = _question_totals(commenter_rollup(rows), ["question_id"])
-    mix = _ordered_map(vocab.STAKEHOLDER_TYPES, lambda v: _zero(f"group_{v}"))
+    mix = _ordered_map(vocab.STAKEHOLDER_TYPES, "group")
     return questions.select("question_id", "question_number", "theme").join(
         totals, "question_id", "left"
     ).select(
@@ -84,8 +87,8 @@ def question_stats(rows: DataFrame, questions: DataFrame) -> DataFrame:
         _zero("distinct_submissions").alias("distinct_submissions"),
         _zero("positions").alias("positions"),
         mix.alias("stakeholder_mix"),
-        _ordered_map(vocab.STANCES, lambda v: _zero(f"stance_{v}")).alias("position_distribution"),
-        _ordered_map(vocab.RESPONSE_TYPES, lambda v: _zero(f"by_commenters_{v}")).alias("response_type_commenters"),
+        _ordered_map(vocab.STANCES, "stance").alias("position_distribution"),
+        _ordered_map(vocab.RESPONSE_TYPES, "by_commenters").alias("response_type_commenters"),
         tension_eligible(_zero("distinct_commenters"), F.size(mix)).alias("tension_eligible"),
         conclusion_eligible(_zero("distinct_commenters")).alias("conclusion_eligible"),
     )
@@ -99,38 +102,32 @@ def response_type_distribution(rows: DataFrame) -> DataFrame:
         "distinct_commenters",
         "distinct_submissions",
         "positions",
-        _ordered_map(_TYPES, lambda v: F.col(f"by_commenters_{v}")).alias("by_distinct_commenters"),
-        _ordered_map(_TYPES, lambda v: F.col(f"by_positions_{v}")).alias("by_positions"),
+        _ordered_map(_TYPES, "by_commenters").alias("by_distinct_commenters"),
+        _ordered_map(_TYPES, "by_positions").alias("by_positions"),
     )
 
 
 def comparable_groups(rows: DataFrame) -> DataFrame:
     """Groups with enough distinct commenters on a question to be compared."""
     totals = _question_totals(commenter_rollup(rows), ["question_id"])
-    enough = [
-        F.when(F.col(f"group_{g}") >= vocab.MIN_COMMENTERS_FOR_TENSION, F.lit(g))
-        for g in sorted(vocab.STAKEHOLDER_TYPES)
-    ]
-    return totals.select("question_id", F.array_compact(F.array(*enough)).alias("comparable_groups"))
+    mix = _ordered_map(sorted(vocab.STAKEHOLDER_TYPES), "group")
+    enough = F.map_filter(mix, lambda _, n: n >= vocab.MIN_COMMENTERS_FOR_TENSION)
+    return totals.select("question_id", F.map_keys(enough).alias("comparable_groups"))
 
 
-def dominant_of(by_commenters: Column, values=None) -> Column:
+def dominant_of(by_commenters: str, values=None) -> Column:
     """Type with most commenters in a count map; the earliest type on ties."""
-    values = _TYPES if values is None else values
-    ranked = F.array_max(F.array(*[
-        F.struct(
-            F.coalesce(F.try_element_at(by_commenters, F.lit(v)), F.lit(0).cast("bigint")).alias("n"),
-            F.lit(-i).alias("order"),
-            F.lit(v).alias("type"),
-        )
-        for i, v in enumerate(values)
-    ]))
-    return F.when(ranked["n"] > 0, ranked["type"])
+    ranked = ", ".join(
+        f"struct(coalesce(try_element_at({by_commenters}, '{v}'), 0L) AS n, {-i} AS late, '{v}' AS id)"
+        for i, v in enumerate(_TYPES if values is None else values)
+    )
+    best = F.expr(f"array_max(array({ranked}))")
+    return F.when(best["n"] > 0, best["id"])
 
 
 def dominant_type(rows: DataFrame) -> DataFrame:
     dist = response_type_distribution(rows)
-    return dist.select("question_id", dominant_of(F.col("by_distinct_commenters")).alias("dominant_response_type"))
+    return dist.select("question_id", dominant_of("by_distinct_commenters").alias("dominant_response_type"))
 
 
 # --- cross-cutting gaps -----------------------------------------------------
@@ -177,18 +174,14 @@ def _gap_totals(linked: DataFrame) -> DataFrame:
     totals = per_commenter.groupBy("gap_id").agg(
         F.count("*").alias("distinct_commenters"),
         F.sum("positions").alias("positions"),
-        *_counts("group", vocab.STAKEHOLDER_TYPES, F.col("stakeholder_type")),
-    )
-    ranked = F.array_sort(F.filter(
-        F.array(*[
-            F.struct((-F.col(f"group_{g}")).alias("n"), F.lit(i).alias("order"), F.lit(g).alias("id"))
-            for i, g in enumerate(vocab.STAKEHOLDER_TYPES)
-        ]),
-        lambda r: r["n"] < 0,
-    ))
+        *_counts("group", vocab.STAKEHOLDER_TYPES, "stakeholder_type"),
+    )
+    groups = ", ".join(
+        f"struct(-group_{g} AS n, {i} AS late, '{g}' AS id)" for i, g in enumerate(vocab.STAKEHOLDER_TYPES)
+    )
     return totals.select(
         "gap_id", "distinct_commenters", "positions",
-        F.transform(ranked, lambda r: r["id"]).alias("stakeholder_types"),
+        F.expr(f"transform(array_sort(filter(array({groups}), r -> r.n < 0)), r -> r.id) AS stakeholder_types"),
     )
 
 
@@ -287,12 +280,12 @@ def docket_pattern(stats: DataFrame, totals: DataFrame) -> DataFrame:
     modify = "support_with_modification"
 
     def on_question(stance):
-        return F.coalesce(F.try_element_at("position_distribution", F.lit(stance)), F.lit(0).cast("bigint"))
+        return f"coalesce(try_element_at(position_distribution, '{stance}'), 0L)"
 
-    rest = F.greatest(*[on_question(s) for s in vocab.STANCES if s != modify])
+    rest = ", ".join(on_question(s) for s in vocab.STANCES if s != modify)
     per_question = stats.agg(
         F.count_if("conclusion_eligible").alias("eligible_questions"),
-        F.count_if(F.col("conclusion_eligible") & (on_question(modify) <= rest)).alias("not_led"),
+        F.expr(f"count_if(conclusion_eligible AND {on_question(modify)} <= greatest({rest})) AS not_led"),
         F.count("*").alias("questions"),
     )
     overall = totals.agg(
@@ -330,7 +323,7 @@ def signal_cards(questions: DataFrame, stats: DataFrame, gaps: DataFrame, totals
     enough = vocab.MIN_COMMENTERS_FOR_CONCLUSION
     titled = stats.join(questions.select("question_id", "short_title"), "question_id")
     top = most_discussed(titled)
-    ranges = F.create_map(*[F.lit(x) for t in vocab.THEMES for x in (t.id, f"{t.label} ({t.question_range})")])
+    ranges = vocab.literal_map({t.id: f"{t.label} ({t.question_range})" for t in vocab.THEMES})
     themes = theme_rollup(stats).select(
         "theme", F.col("positions").alias("theme_positions"), F.col("questions").alias("theme_questions")
     )

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colloquy import vocab
 
@@ -38,60 +37,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _pick(values, index):
-    """The ``index``-th (0-based) of a closed list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _pick(values, index: str) -> str:
+    """The ``index``-th (0-based) of a closed list, in SQL."""
+    return f"element_at({vocab.sql_array(values)}, cast(({index}) + 1 AS int))"
 
 
-def _lookup(mapping, key):
-    pairs = [F.lit(x) for pair in mapping.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
-def _q(number):
-    return F.concat(F.lit("q"), number.cast("string"))
+def _lookup(mapping: dict, key: str) -> str:
+    return f"try_element_at({vocab.sql_map(mapping)}, {key})"
 
 
 def questions(spark: SparkSession) -> DataFrame:
-    issue_labels = list(vocab.ISSUES.values())
-    number = F.col("question_number")
-    topic = _pick(issue_labels, (number - 1) % len(issue_labels))
-    return vocab.questions_frame(spark).select(
-        "question_id",
-        "question_number",
-        "theme",
-        F.concat(F.lit("Topic "), number.cast("string"), F.lit(": "), topic).alias("short_title"),
-        F.array(F.col("theme"), F.lower(topic)).alias("tags"),
-        F.lit(True).alias("has_tension_block"),
+    labels = list(vocab.ISSUES.values())
+    topic = _pick(labels, f"(question_number - 1) % {len(labels)}")
+    return vocab.questions_frame(spark).selectExpr(
+        "*",
+        f"concat('Topic ', question_number, ': ', {topic}) AS short_title",
+        f"array(theme, lower({topic})) AS tags",
+        "true AS has_tension_block",
     )
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per submission before any exclusion, with the author's identity."""
+    kind = _pick(
+        vocab.STAKEHOLDER_TYPES,
+        f"(array_position({vocab.sql_array(SEGMENTS)}, c_mktsegment) - 1) * 2 + c_nationkey % 2",
+    )
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
-    kind = _pick(list(vocab.STAKEHOLDER_TYPES), segment * 2 + F.col("c_nationkey") % 2)
-    organization = (
-        F.when(cust % 5 == 0, F.lit(""))
-        .when(key % 2 == 0, F.upper("c_name"))
-        .otherwise(F.col("c_name"))
-    )
-    return orders.join(customer, cust == F.col("c_custkey"), "left").select(
-        key.cast("string").alias("comment_id"),
-        ((F.col("o_orderstatus") == "P") & (key % 7 == 0)).alias("withdrawn"),
-        (F.col("o_totalprice") >= 10000).alias("usable"),
-        (~((F.col("o_orderpriority") == "4-NOT SPECIFIED") & (key % 3 == 0))).alias("analyzed"),
-        F.col("c_custkey").isNotNull().alias("identified"),
-        organization.alias("organization"),
-        F.lit("").alias("display_name"),
-        F.coalesce(kind, F.lit("other")).alias("stakeholder_type"),
-        F.col("o_orderdate").cast("date").cast("string").alias("received_date"),
-        F.date_add(F.col("o_orderdate").cast("date"), 2).cast("string").alias("posted_date"),
-        F.concat(F.lit("https://example.org/comment/"), key.cast("string")).alias("source_url"),
-        F.when(key % 4 == 0, F.array(F.lit("a.txt"))).otherwise(F.array().cast("array<string>"))
-        .alias("attachment_urls"),
+    return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").selectExpr(
+        "cast(o_orderkey AS string) AS comment_id",
+        "o_orderstatus = 'P' AND o_orderkey % 7 = 0 AS withdrawn",
+        "o_totalprice >= 10000 AS usable",
+        "NOT (o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 3 = 0) AS analyzed",
+        "c_custkey IS NOT NULL AS identified",
+        "CASE WHEN o_custkey % 5 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS organization",
+        "'' AS display_name",
+        f"coalesce({kind}, 'other') AS stakeholder_type",
+        "cast(cast(o_orderdate AS date) AS string) AS received_date",
+        "cast(date_add(cast(o_orderdate AS date), 2) AS string) AS posted_date",
+        "concat('https://example.org/comment/', o_orderkey) AS source_url",
+        "CASE WHEN o_orderkey % 4 = 0 THEN array('a.txt') ELSE cast(array() AS array<string>) END AS attachment_urls",
     )
 
 
@@ -99,42 +85,28 @@ def analysis_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per position before any filter."""
     line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
-    part_q, supp_q = F.col("l_partkey") % vocab.N_QUESTIONS + 1, F.col("l_suppkey") % vocab.N_QUESTIONS + 1
-    quantity = F.col("l_quantity").cast("int")
-    gap = F.col("l_suppkey") % len(vocab.GAPS)
-    gaps = list(vocab.GAPS)
-    tags = F.array(*[_pick(gaps, (gap + step) % len(gaps)) for step in (0, 2, 5)])
-    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
-        F.col("l_orderkey").cast("string").alias("comment_id"),
-        F.concat_ws(
-            "-",
-            F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
-            "l_partkey",
-            "l_suppkey",
-            F.col("l_shipdate").cast("date").cast("string"),
-        ).alias("segment_id"),
-        F.when(part_q == supp_q, F.array(_q(part_q)))
-        .otherwise(F.array(_q(F.least(part_q, supp_q)), _q(F.greatest(part_q, supp_q))))
-        .alias("question_ids"),
-        _lookup(STANCE_OF_FLAGS, F.concat("l_returnflag", "l_linestatus")).alias("position"),
-        _pick(vocab.CONFIDENCE, quantity % 3).alias("confidence"),
-        _pick(list(vocab.ISSUES), brand % len(vocab.ISSUES)).alias("primary_issue"),
-        F.when(quantity % 5 == 0, F.lit(None).cast("string"))
-        .otherwise(_pick(list(vocab.ISSUES), (brand + 3) % len(vocab.ISSUES)))
-        .alias("secondary_issue"),
-        F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string"))
-        .otherwise(_lookup(RESPONSE_OF_PART, F.col("p_type")))
-        .alias("response_type"),
-        F.concat(F.lit("worry about "), F.col("p_name")).alias("stakeholder_concern"),
-        F.concat(F.lit("act on "), F.col("p_name")).alias("requested_fda_action"),
-        F.slice(tags, F.lit(1), quantity % 4).alias("gap_tags"),
-        F.when(quantity == 50, F.lit("")).otherwise(
-            F.concat(F.lit("Asks for a "), F.col("p_name"), F.lit(" rule of size "),
-                     F.col("p_size").cast("string"), F.lit("."))
-        ).alias("public_summary"),
-        F.concat(F.lit("We ask the agency for a "), F.col("p_name"), F.lit(" rule, item "),
-                 F.col("l_linenumber").cast("string"), F.lit(".")).alias("source_passage"),
+    n = vocab.N_QUESTIONS
+    quantity = "cast(l_quantity AS int)"
+    brand = "cast(substring(p_brand, 7) AS int)"
+    tags = ", ".join(_pick(vocab.GAPS, f"(l_suppkey + {step}) % {len(vocab.GAPS)}") for step in (0, 2, 5))
+    issues = len(vocab.ISSUES)
+    return line.join(part, line.l_partkey == part.p_partkey, "left").selectExpr(
+        "cast(l_orderkey AS string) AS comment_id",
+        "concat_ws('-', lpad(cast(l_linenumber AS string), 2, '0'), l_partkey, l_suppkey, "
+        "cast(cast(l_shipdate AS date) AS string)) AS segment_id",
+        f"CASE WHEN l_partkey % {n} = l_suppkey % {n} THEN array(concat('q', l_partkey % {n} + 1)) "
+        f"ELSE array(concat('q', least(l_partkey % {n}, l_suppkey % {n}) + 1), "
+        f"concat('q', greatest(l_partkey % {n}, l_suppkey % {n}) + 1)) END AS question_ids",
+        f"{_lookup(STANCE_OF_FLAGS, 'concat(l_returnflag, l_linestatus)')} AS position",
+        f"{_pick(vocab.CONFIDENCE, f'{quantity} % 3')} AS confidence",
+        f"{_pick(vocab.ISSUES, f'{brand} % {issues}')} AS primary_issue",
+        f"CASE WHEN {quantity} % 5 = 0 THEN NULL ELSE {_pick(vocab.ISSUES, f'({brand} + 3) % {issues}')} END AS secondary_issue",
+        f"CASE WHEN p_size % 10 = 0 THEN NULL ELSE {_lookup(RESPONSE_OF_PART, 'p_type')} END AS response_type",
+        "concat('worry about ', p_name) AS stakeholder_concern",
+        "concat('act on ', p_name) AS requested_fda_action",
+        f"slice(array({tags}), 1, {quantity} % 4) AS gap_tags",
+        f"CASE WHEN {quantity} = 50 THEN '' ELSE concat('Asks for a ', p_name, ' rule of size ', p_size, '.') END AS public_summary",
+        "concat('We ask the agency for a ', p_name, ' rule, item ', l_linenumber, '.') AS source_passage",
     )
 
 
@@ -143,19 +115,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Found passages in order: the lines of each document, twice when long
-    enough to have been read in two overlapping chunks."""
-    doc, at = F.col("doc_id"), F.col("ord")
-    lines = table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "source_passage")
+    """Found passages in order: the lines of each document."""
+    n = vocab.N_QUESTIONS
+    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, '\\n', -1)) AS (ord, line)")
+    return lines.selectExpr(
+        "cast(doc_id AS string) AS comment_id",
+        "cast(ord AS bigint) AS ord",
+        f"array(concat('q', (doc_id + ord) % 30), concat('q', (doc_id * 7 + ord) % {n} + 1)) AS question_ids",
+        "line AS source_passage",
+        "substring(line, 1, 40) AS position_gist",
+        "(doc_id + ord) % 11 = 0 AS is_background_only",
+    )
+
+
+LANG_STANCE = {"en": "support", "fr": "oppose", "de": "mixed", "es": "support_with_modification"}
+
+
+def passage_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions with running text: the lines of each document, which repeat
+    and vary within a document as points do within a submission."""
+    from pyspark.sql import functions as F
+
+    from colloquy.functions import text as T
+
+    n = vocab.N_QUESTIONS
+    lines = (
+        table(spark, sf_dir, "documents")
+        .selectExpr("doc_id", "lang", "posexplode(split(text, '\\n', -1)) AS (ord, line)")
+        .filter(f"length(line) >= {vocab.MIN_PASSAGE_CHARS}")
+    )
+    tags = ", ".join(_pick(vocab.GAPS, f"(length(line) + {step}) % {len(vocab.GAPS)}") for step in (0, 2, 5))
+    rows = lines.selectExpr(
+        "cast(doc_id AS string) AS submission_id",
+        "concat('seg-', lpad(cast(ord + 1 AS string), greatest(3, length(cast(ord + 1 AS string))), '0')) AS segment_id",
+        f"array(concat('q', doc_id % {n} + 1), concat('q', length(line) % {n} + 1)) AS question_ids",
+        f"coalesce({_lookup(LANG_STANCE, 'lang')}, 'unclear') AS position",
+        f"{_pick(vocab.CONFIDENCE, 'ord % 3')} AS confidence",
+        f"slice(array({tags}), 1, cast(ord % 4 AS int)) AS gap_tags",
+        "line AS source_passage",
     )
-    first = (doc + at) % 30
-    second = (doc * 7 + at) % 26 + 1
-    return lines.select(
-        doc.cast("string").alias("comment_id"),
-        at.cast("bigint").alias("ord"),
-        F.array(_q(first), _q(second)).alias("question_ids"),
-        "source_passage",
-        F.substring("source_passage", 1, 40).alias("position_gist"),
-        ((doc + at) % 11 == 0).alias("is_background_only"),
+    return rows.select(
+        "submission_id", "segment_id", F.array_distinct("question_ids").alias("question_ids"), "position", "confidence",
+        "gap_tags", F.map_from_entries(F.transform("gap_tags", lambda t: F.struct(t, F.concat("segment_id", F.lit(" on "), t))))
+        .alias("gap_explanations"),
+        T.sentence_cut(F.col("source_passage"), vocab.SUMMARY_MAX_WORDS).alias("public_summary"), "source_passage",
     )

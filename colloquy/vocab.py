@@ -160,45 +160,58 @@ N_QUESTIONS = THEMES[-1].last_question
 QUESTION_IDS = [f"q{n}" for n in range(1, N_QUESTIONS + 1)]
 
 
-def label_map(vocabulary: dict) -> Column:
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values) -> str:
+    return "array(" + ", ".join(quoted(v) for v in values) + ")"
+
+
+def sql_map(mapping: dict) -> str:
+    """SQL literal map ``id -> label`` of a vocabulary."""
+    flat = [quoted(x) for k, v in mapping.items() for x in (k, v if isinstance(v, str) else v[0])]
+    return "map(" + ", ".join(flat) + ")"
+
+
+def literal_array(values) -> Column:
+    return F.expr(sql_array(values))
+
+
+def literal_map(mapping: dict) -> Column:
     """Literal ``id -> label`` map, for labelling without a join."""
-    pairs = []
-    for key, value in vocabulary.items():
-        pairs += [F.lit(key), F.lit(value if isinstance(value, str) else value[0])]
-    return F.create_map(*pairs)
+    return F.expr(sql_map(mapping))
 
 
 def label(vocabulary: dict, column: Column) -> Column:
     """Label of ``column`` in the vocabulary, null when the id is unknown."""
-    return F.try_element_at(label_map(vocabulary), column)
+    return F.try_element_at(literal_map(vocabulary), column)
 
 
 def ordinal(values, column: Column) -> Column:
     """1-based place of ``column`` in the vocabulary, null when unknown."""
-    return F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), column), F.lit(0))
+    return F.nullif(F.array_position(literal_array(values), column), F.lit(0))
 
 
 def is_known(values, column: Column) -> Column:
-    return F.coalesce(column.isin(*list(values)), F.lit(False))
+    return F.coalesce(F.array_contains(literal_array(values), column), F.lit(False))
 
 
 def question_number(question_id: Column) -> Column:
     """Numeric part of a question id (``q12`` -> 12); 0 when there is none."""
-    digits = F.regexp_replace(question_id, r"\D", "")
-    return F.when(digits == "", F.lit(0)).otherwise(digits.cast("int"))
+    digits = F.nullif(F.regexp_replace(question_id, r"\D", ""), F.lit(""))
+    return F.coalesce(digits.cast("int"), F.lit(0))
 
 
 def is_question_id(question_id: Column) -> Column:
     return is_known(QUESTION_IDS, question_id)
 
 
-def theme_of(number: Column) -> Column:
+def sql_theme_of(number: str) -> str:
     """Theme id for a question number; numbers past the list fall in the last theme."""
-    out = F.lit(THEMES[-1].id)
-    for theme in reversed(THEMES[:-1]):
-        inside = number.between(theme.first_question, theme.last_question)
-        out = F.when(inside, F.lit(theme.id)).otherwise(out)
-    return out
+    whens = " ".join(f"WHEN {number} <= {t.last_question} THEN {quoted(t.id)}" for t in THEMES[:-1])
+    return f"CASE {whens} ELSE {quoted(THEMES[-1].id)} END"
 
 
 # Sets of questions travel through aggregations as a 26-bit mask: ``bit_or`` is
@@ -224,11 +237,9 @@ def mask_questions(mask: Column) -> Column:
 
 
 def questions_frame(spark: SparkSession) -> DataFrame:
-    """The question dimension (26 rows): id, question_number, theme."""
-    return spark.range(1, N_QUESTIONS + 1).select(
-        F.concat(F.lit("q"), F.col("id").cast("string")).alias("question_id"),
-        F.col("id").cast("int").alias("question_number"),
-        theme_of(F.col("id")).alias("theme"),
+    """The question dimension (26 rows): question_id, question_number, theme."""
+    return spark.range(1, N_QUESTIONS + 1).selectExpr(
+        "concat('q', id) AS question_id", "cast(id AS int) AS question_number", f"{sql_theme_of('id')} AS theme"
     )
 
 
