@@ -8,7 +8,7 @@ score the ones that are left.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -28,11 +28,11 @@ _WINDOW = MIN_RUN - GRAM + 1
 _HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint_text(text: str) -> list[dict]:
-    """Fingerprints with the characters ``[start, stop)`` their windows cover."""
+def fingerprint_text(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, and where the characters their windows cover start and stop."""
     codes = np.frombuffer(text.encode("ascii"), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
     if len(codes) < MIN_RUN:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     grams = np.zeros(len(codes) - GRAM + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for offset in range(GRAM):
@@ -45,9 +45,7 @@ def fingerprint_text(text: str) -> list[dict]:
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     last = np.r_[first[1:] - 1, len(chosen) - 1]
     values = grams[chosen[first]].astype(np.int64)
-    return [
-        {"fp": int(v), "start": int(a), "stop": int(b) + MIN_RUN} for v, a, b in zip(values, first, last)
-    ]
+    return values, first.astype(np.int32), (last + MIN_RUN).astype(np.int32)
 
 
 def common_runs(a: str, b: str, size: int = MIN_RUN) -> list[tuple[int, int, int]]:
@@ -123,7 +121,7 @@ def similarity_of(a: str, b: str, at_least: float = 0.0) -> float | None:
         return 1.0
     total = len(a) + len(b)
     need = (at_least - 0.0005) * total / 2 if at_least > 0 else -1
-    if min(len(a), len(b)) < need or sum((Counter(a) & Counter(b)).values()) < need:
+    if min(len(a), len(b)) < need:
         return None
     if need > 0 and common_subsequence(a, b) < need:
         return None

@@ -8,14 +8,17 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from colloquy.functions.matching import containment_of, fingerprint_text, similarity_of
 
-_FINGERPRINTS = ArrayType(StructType([
-    StructField("fp", LongType()), StructField("start", IntegerType()), StructField("stop", IntegerType()),
-]))
+_FINGERPRINTS = StructType([
+    StructField("fp", ArrayType(LongType())),
+    StructField("start", ArrayType(IntegerType())),
+    StructField("stop", ArrayType(IntegerType())),
+])
 
 
 @F.pandas_udf(_FINGERPRINTS)
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint_text)
+def fingerprints(texts: pd.Series) -> pd.DataFrame:
+    """Parallel arrays per text: fingerprint, start and stop of what it covers."""
+    return pd.DataFrame([fingerprint_text(t) for t in texts], columns=["fp", "start", "stop"])
 
 
 @F.pandas_udf(DoubleType())

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from colloquy import vocab
 
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Printable ASCII is decided first; most characters then cost a single test.
+BLANK = rf"[[^!-~]&&[{SPACE}]]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-WORD = rf"[^{SPACE}]+"
-SENTENCE_BREAK = rf"(?<=[.!?])[{SPACE}]+"
+WORD = rf"[!-~[^{SPACE}]]+"
+SENTENCE_BREAK = rf"(?<=[.!?]){BLANK}+"
 
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def normalize(text: Column) -> Column:
@@ -42,34 +44,37 @@ def word_count(text: Column) -> Column:
 
 def sentence_cut(text: Column, max_words: int) -> Column:
     """Leading whole sentences within ``max_words``; else the first words."""
-    trimmed = strip(F.coalesce(text, F.lit("")))
-    sentences = F.split(trimmed, SENTENCE_BREAK, -1)
-    start = F.struct(
-        F.lit(0).alias("words"), F.lit(0).alias("kept"), F.lit(False).alias("full")
-    )
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("kept"))
 
     def step(acc, sentence):
+        # Past the limit the count only grows, so nothing more is kept.
         words = acc["words"] + word_count(sentence)
-        full = acc["full"] | (words > max_words)
-        return F.struct(
-            F.when(full, acc["words"]).otherwise(words).alias("words"),
-            F.when(full, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"),
-            full.alias("full"),
-        )
+        return vocab.once(words, lambda w: F.struct(
+            w.alias("words"), (acc["kept"] + (w <= max_words).cast("int")).alias("kept")
+        ))
+
+    def cut(trimmed):
+        def leading(sentences):
+            # A sentence holds a word at least, so more than this many never fit.
+            counted = F.slice(sentences, 1, max_words + 1)
+            kept = F.aggregate(counted, start, step, lambda acc: acc["kept"])
+            return F.slice(sentences, F.lit(1), kept)
+
+        whole = vocab.once(F.split(trimmed, SENTENCE_BREAK, -1), leading)
+        words = F.slice(F.regexp_extract_all(trimmed, F.lit(WORD), F.lit(0)), 1, max_words)
+        return vocab.once(whole, lambda w: F.array_join(F.when(F.size(w) > 0, w).otherwise(words), " "))
 
-    kept = F.aggregate(sentences, start, step, lambda acc: acc["kept"])
-    whole = F.array_join(F.slice(sentences, F.lit(1), kept), " ")
-    words = F.slice(F.regexp_extract_all(trimmed, F.lit(WORD), F.lit(0)), 1, max_words)
-    return F.when(kept > 0, whole).otherwise(F.array_join(words, " "))
+    return vocab.once(strip(F.coalesce(text, F.lit(""))), cut)
 
 
 def limit_words(text: Column, max_words: int) -> Column:
     """``STRUCT<text, cut>``: the text, cut at a sentence when it is too long."""
-    too_long = word_count(text) > max_words
-    return F.struct(
-        F.when(too_long, sentence_cut(text, max_words)).otherwise(text).alias("text"),
-        too_long.alias("cut"),
-    )
+    def limited(t):
+        return vocab.once(word_count(t) > max_words, lambda too_long: F.struct(
+            F.when(too_long, sentence_cut(t, max_words)).otherwise(t).alias("text"), too_long.alias("cut")
+        ))
+
+    return vocab.once(text, limited)
 
 
 def passage_key(passage: Column) -> Column:
@@ -80,7 +85,7 @@ def passage_key(passage: Column) -> Column:
 
 def match_norm(text: Column) -> Column:
     """Form in which passages are compared: ASCII letters, digits, single blanks."""
-    squeezed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[{SPACE}]+", " ")
+    squeezed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"{BLANK}+", " ")
     return F.trim(F.regexp_replace(squeezed, r"[^a-z0-9 ]+", " "))
 
 
@@ -121,9 +126,9 @@ def clean_text(text: Column) -> Column:
     control characters, no doubled blanks or commas.  Null becomes empty."""
     out = decode_escapes(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, "[\u2014\u2013]", ", ")
-    out = F.regexp_replace(strip(out), rf"[{SPACE}]*[\r\n]+[{SPACE}]*", ", ")
+    out = F.regexp_replace(strip(out), rf"{BLANK}*[\r\n]+{BLANK}*", ", ")
     out = F.regexp_replace(out, CONTROL, "")
-    out = F.regexp_replace(out, rf"[{SPACE}]+", " ")
+    out = F.regexp_replace(out, rf"{BLANK}+", " ")
     out = F.regexp_replace(out, r" +,", ",")
     out = F.regexp_replace(out, r",( *,)+", ",")
     out = F.regexp_replace(out, r"([:;,]) *,", "$1")
@@ -163,6 +168,10 @@ def chunk_bounds(
     """``ARRAY<STRUCT<start, stop>>``: overlapping windows of at most ``size``
     characters.  A window that is not the last ends at the last empty line of
     its second half, when there is one."""
+    return vocab.once(text, lambda t: _chunk_walk(t, size, overlap))
+
+
+def _chunk_walk(text: Column, size: int, overlap: int) -> Column:
     n = F.length(text)
     half = size // 2
     # Every step moves forward by at least this much, which bounds the walk.

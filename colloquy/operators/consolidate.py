@@ -32,6 +32,7 @@ from colloquy.functions import matching as M
 from colloquy.functions import similarity as S
 from colloquy.functions import text as T
 from colloquy.operators.components import connected_components
+from colloquy.session import cut_lineage
 
 RULE_VERSION = "1.0.0"
 BLOCK = ["submission_id", "stance", "question"]
@@ -99,10 +100,26 @@ def _copy_links(records: DataFrame, members: DataFrame, text: str) -> DataFrame:
     ).distinct()
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _fingerprint_rows(records: DataFrame, members: DataFrame) -> DataFrame:
     """Fingerprints that at least two texts of a block share, one row per text."""
     texts = records.groupBy("submission_id", F.md5("passage").alias("text_id")).agg(F.first("passage").alias("passage"))
-    prints = texts.select("submission_id", "text_id", F.inline(S.fingerprints(F.col("passage"))))
+    # Short texts make long lists: adaptive execution would judge by their bytes
+    # and merge tasks, so the number of tasks is stated.
+    spread = texts.repartition(_tasks(texts), "submission_id", "text_id")
+    prints = spread.withColumn("prints", S.fingerprints(F.col("passage"))).select(
+        "submission_id", "text_id", F.inline(F.arrays_zip("prints.fp", "prints.start", "prints.stop"))
+    )
+    # Most fingerprints belong to one text.  A first pass over narrow rows finds
+    # the few that do not; the second pass keeps only those.
+    spot = F.xxhash64("submission_id", "fp").alias("spot")
+    held = prints.select(spot, F.xxhash64("text_id").alias("holder")).groupBy("spot").agg(
+        F.min("holder").alias("least"), F.max("holder").alias("most")
+    ).filter("least <> most").select("spot")
+    prints = prints.withColumn("spot", spot).join(held, "spot", "left_semi").drop("spot")
     rows = prints.join(members, ["submission_id", "text_id"])
     shared = rows.groupBy(*GROUP).agg(
         F.count("*").alias("holders"),
@@ -235,7 +252,7 @@ def _summary_links(records: DataFrame, members: DataFrame, components: DataFrame
     )
     return (
         lefts.unionByName(rights.select(lefts.columns))
-        .repartition(*M.UNIT)
+        .repartition(_tasks(lefts), *M.UNIT)
         .sortWithinPartitions(*M.UNIT)
         .mapInPandas(M.tile_matches, _PAIR)
     )
@@ -251,7 +268,8 @@ def near_duplicate_links(positions: DataFrame, rules=("passage", "summary")) ->
     if "passage" in rules:
         long_enough = records.filter(F.length("passage") >= M.MIN_RUN)
         passages = _text_members(long_enough, "passage")
-        fingerprint_rows = _fingerprint_rows(long_enough, passages)
+        # Read three times below; only fingerprints with several holders are left.
+        fingerprint_rows = cut_lineage(_fingerprint_rows(long_enough, passages))
         links.append(_copy_links(long_enough, passages, "passage"))
         links.append(_score_passages(_pivot_pairs(fingerprint_rows), records))
     if "summary" in rules:

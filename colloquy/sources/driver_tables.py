@@ -37,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer splits than cores, as one
+    small file has.  A large table has more splits and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(values, index: str) -> str:
     """The ``index``-th (0-based) of a closed list, in SQL."""
     return f"element_at({vocab.sql_array(values)}, cast(({index}) + 1 AS int))"
@@ -111,13 +118,13 @@ def analysis_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found passages in order: the lines of each document."""
     n = vocab.N_QUESTIONS
-    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, '\\n', -1)) AS (ord, line)")
+    lines = documents(spark, sf_dir).selectExpr("doc_id", "posexplode(split(text, '\\n', -1)) AS (ord, line)")
     return lines.selectExpr(
         "cast(doc_id AS string) AS comment_id",
         "cast(ord AS bigint) AS ord",
@@ -140,7 +147,7 @@ def passage_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = vocab.N_QUESTIONS
     lines = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .selectExpr("doc_id", "lang", "posexplode(split(text, '\\n', -1)) AS (ord, line)")
         .filter(f"length(line) >= {vocab.MIN_PASSAGE_CHARS}")
     )
@@ -160,3 +167,37 @@ def passage_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("gap_explanations"),
         T.sentence_cut(F.col("source_passage"), vocab.SUMMARY_MAX_WORDS).alias("public_summary"), "source_passage",
     )
+
+
+def scored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with a scorer's raw answer, valid and invalid values mixed."""
+    line = spread(table(spark, sf_dir, "lineitem"))
+    part = table(spark, sf_dir, "part")
+    n, issues, gaps = vocab.N_QUESTIONS, len(vocab.ISSUES), len(vocab.GAPS)
+    quantity = "cast(l_quantity AS int)"
+    brand = "cast(substring(p_brand, 7) AS int)"
+    gap = _pick(vocab.GAPS, f"l_suppkey % {gaps}")
+    other = _pick(vocab.GAPS, f"l_partkey % {gaps}")
+    third = _pick(vocab.GAPS, f"(l_partkey + 4) % {gaps}")
+    fourth = _pick(vocab.GAPS, f"(l_partkey + 6) % {gaps}")
+    primary = f"CASE WHEN p_size % 7 = 0 THEN 'bogus' ELSE {_pick(vocab.ISSUES, f'{brand} % {issues}')} END"
+    return line.join(part, line.l_partkey == part.p_partkey, "left").selectExpr(
+        "cast(l_orderkey AS string) AS comment_id",
+        "concat_ws('-', lpad(cast(l_linenumber AS string), 2, '0'), l_partkey, l_suppkey, "
+        "cast(cast(l_shipdate AS date) AS string)) AS segment_id",
+        f"array(concat('q', l_suppkey % {n} + 1)) AS question_ids",
+        "concat('passage about ', p_name) AS source_passage",
+        "named_struct("
+        f"'question_ids', CASE WHEN {quantity} % 4 = 0 THEN array('q0', 'x') ELSE "
+        f"array(concat('q', l_partkey % 30), concat('q', l_suppkey % {n} + 1)) END, "
+        f"'position', {_lookup(STANCE_OF_FLAGS, 'concat(l_returnflag, l_linestatus)')}, "
+        f"'primary_issue', {primary}, "
+        f"'secondary_issue', {_pick(vocab.ISSUES, f'({brand} + {quantity} % 2) % {issues}')}, "
+        "'stakeholder_concern', concat('  ', p_name, ' '), "
+        "'requested_fda_action', cast(NULL AS string), "
+        "'confidence', cast(NULL AS string), "
+        f"'gap_tags', array({gap}, 'bogus', {gap}, {other}, {third}, {fourth}), "
+        f"'gap_explanations', array(named_struct('gap', {gap}, 'explanation', 'first'), "
+        f"named_struct('gap', {gap}, 'explanation', p_name)), "
+        f"'public_summary', concat('\"', repeat(concat(p_name, ' notes. '), {quantity}), '\"')) AS scored",
+    )

@@ -216,24 +216,32 @@ def sql_theme_of(number: str) -> str:
 
 # Sets of questions travel through aggregations as a 26-bit mask: ``bit_or`` is
 # a constant-size, map-side-combinable union, whatever the size of the group.
+_BITS = "map(" + ", ".join(f"'{q}', {1 << i}L" for i, q in enumerate(QUESTION_IDS)) + ")"
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time.
+
+    Inside a lambda Spark evaluates an outer expression again for every element,
+    and common-subexpression elimination does not reach there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def question_mask(question_ids: Column) -> Column:
-    known = F.filter(F.array_distinct(question_ids), is_question_id)
     return F.aggregate(
-        known,
+        question_ids,
         F.lit(0).cast("bigint"),
-        lambda acc, q: acc.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), question_number(q) - 1)
-        ),
+        lambda acc, q: acc.bitwiseOR(F.coalesce(F.try_element_at(F.expr(_BITS), q), F.lit(0).cast("bigint"))),
     )
 
 
 def mask_questions(mask: Column) -> Column:
     """Question ids of a mask, in numeric order."""
-    members = F.filter(
-        F.sequence(F.lit(1), F.lit(N_QUESTIONS)),
-        lambda n: F.getbit(mask, n - 1) == 1,
-    )
-    return F.transform(members, lambda n: F.concat(F.lit("q"), n.cast("string")))
+    def members(bits):
+        held = F.filter(F.sequence(F.lit(1), F.lit(N_QUESTIONS)), lambda n: F.getbit(bits, n - 1) == 1)
+        return F.transform(held, lambda n: F.concat(F.lit("q"), n.cast("string")))
+
+    return once(mask, members)
 
 
 def questions_frame(spark: SparkSession) -> DataFrame:
