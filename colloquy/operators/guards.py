@@ -25,26 +25,52 @@ def tidy(text: Column) -> Column:
     return T.clean_text(T.strip_quotes(text))
 
 
-def resolved_sides(claims: DataFrame, rows: DataFrame) -> DataFrame:
-    """Sides of each claimed disagreement with the ids that are on the question
-    and their distinct commenters; empty sides are dropped."""
-    cited = (
-        claims.select("question_id", F.posexplode("disagreement.sides").alias("side", "s"))
-        .select("question_id", "side", F.col("s.summary").alias("summary"), F.posexplode("s.position_ids").alias("at", "position_id"))
+def cited_ids(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every position id a claim cites that is on its question, with its
+    commenter: ``side`` numbers the sides, -1 marks evidence.  One join serves
+    sides and evidence; claims are few, positions are not."""
+    sides = claims.select("question_id", F.posexplode("disagreement.sides").alias("side", "s")).select(
+        "question_id", "side", F.col("s.summary").alias("summary"), F.posexplode("s.position_ids").alias("at", "position_id")
+    )
+    evidence = claims.select(
+        "question_id", F.lit(-1).alias("side"), F.lit(None).cast("string").alias("summary"),
+        F.posexplode("evidence_position_ids").alias("at", "position_id"),
     )
-    found = cited.join(rows.select("question_id", "position_id", "commenter_id"), ["question_id", "position_id"])
+    cited = sides.unionByName(evidence)
+    return rows.select("question_id", "position_id", "commenter_id").join(cited, ["question_id", "position_id"])
+
+
+def citations(found: DataFrame) -> DataFrame:
+    """Per question: ``sides`` with their ids and distinct commenters, the same
+    ids flat as ``sided``, and the ``given`` evidence, all in claimed order.  Sides without an id on
+    the question are gone."""
     per_side = found.groupBy("question_id", "side").agg(
         F.first("summary").alias("summary"),
-        F.array_sort(F.collect_list(F.struct("at", "position_id"))).alias("cited"),
+        F.array_sort(F.collect_list(F.struct("at", "position_id", "commenter_id"))).alias("cited"),
         F.array_sort(F.collect_set("commenter_id")).alias("commenter_ids"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct(
+    pairs = F.transform("cited", lambda c: F.struct(
+        c["position_id"].alias("position_id"), c["commenter_id"].alias("commenter_id")
+    ))
+    side = F.struct(
         "side",
         tidy_side("summary").alias("summary"),
         F.transform("cited", lambda c: c["position_id"]).alias("position_ids"),
         "commenter_ids",
-    )))
-    return per_side.groupBy("question_id").agg(ordered.alias("sides"))
+    )
+    sided = F.transform("cited", lambda c: F.struct(
+        F.col("side").alias("side"), c["position_id"].alias("position_id"), c["commenter_id"].alias("commenter_id")
+    ))
+    return per_side.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") >= 0, side))).alias("sides"),
+        F.flatten(F.array_sort(F.collect_list(F.when(F.col("side") >= 0, sided)))).alias("sided"),
+        F.first(F.when(F.col("side") < 0, pairs), ignorenulls=True).alias("given"),
+    )
+
+
+def resolved_sides(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """Sides of each claimed disagreement, reduced to ids on the question."""
+    return citations(cited_ids(claims, rows)).select("question_id", "sides")
 
 
 def tidy_side(summary: str) -> Column:
@@ -129,44 +155,21 @@ _CHOSEN = StructType([StructField("ids", ArrayType(StringType())), StructField("
 
 
 @F.pandas_udf(_CHOSEN)
-def _choose(given: pd.Series, sides: pd.Series, fill: pd.Series, n: pd.Series) -> pd.DataFrame:
-    def pairs(items):
-        return [(x["position_id"], x["commenter_id"]) for x in (items if items is not None else [])]
-
-    out = [
-        choose(pairs(g), [pairs(s) for s in (ss if ss is not None else [])], pairs(f), int(k))
-        for g, ss, f, k in zip(given, sides, fill, n)
-    ]
-    return pd.DataFrame(out, columns=["ids", "filled"])
+def _choose(given: pd.Series, sided: pd.Series, fill: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def listed(items):
+        return items if items is not None else []
 
+    def pairs(items):
+        return [(x["position_id"], x["commenter_id"]) for x in listed(items)]
 
-def _given_evidence(claims: DataFrame, rows: DataFrame) -> DataFrame:
-    cited = claims.select("question_id", F.posexplode("evidence_position_ids").alias("at", "position_id"))
-    found = cited.join(rows.select("question_id", "position_id", "commenter_id"), ["question_id", "position_id"])
-    return found.groupBy("question_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("at", "position_id", "commenter_id"))),
-            lambda r: F.struct(r["position_id"].alias("position_id"), r["commenter_id"].alias("commenter_id")),
-        ).alias("given")
-    )
-
+    def by_side(items):
+        sides = {}
+        for x in listed(items):
+            sides.setdefault(x["side"], []).append((x["position_id"], x["commenter_id"]))
+        return [sides[k] for k in sorted(sides)]
 
-def _side_pairs(claims: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per question, each side as its (position, commenter) pairs in order."""
-    cited = (
-        claims.select("question_id", F.posexplode("disagreement.sides").alias("side", "s"))
-        .select("question_id", "side", F.posexplode("s.position_ids").alias("at", "position_id"))
-    )
-    found = cited.join(rows.select("question_id", "position_id", "commenter_id"), ["question_id", "position_id"])
-    per_side = found.groupBy("question_id", "side").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("at", "position_id", "commenter_id"))),
-            lambda r: F.struct(r["position_id"].alias("position_id"), r["commenter_id"].alias("commenter_id")),
-        ).alias("pairs")
-    )
-    return per_side.groupBy("question_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("side", "pairs"))), lambda s: s["pairs"]).alias("side_pairs")
-    )
+    out = [choose(pairs(g), by_side(s), pairs(f), int(k)) for g, s, f, k in zip(given, sided, fill, n)]
+    return pd.DataFrame(out, columns=["ids", "filled"])
 
 
 def guard(claims: DataFrame, rows: DataFrame) -> DataFrame:
@@ -174,12 +177,9 @@ def guard(claims: DataFrame, rows: DataFrame) -> DataFrame:
     behind them, ``quality_flags`` and ``downgrades``."""
     asked = claims.select("question_id").distinct()
     on_claimed = rows.join(asked, "question_id", "left_semi")
-    facts = stats.response_type_distribution(on_claimed).join(stats.comparable_groups(on_claimed), "question_id")
     joined = (
-        claims.join(facts, "question_id", "left")
-        .join(resolved_sides(claims, on_claimed), "question_id", "left")
-        .join(_side_pairs(claims, on_claimed), "question_id", "left")
-        .join(_given_evidence(claims, on_claimed), "question_id", "left")
+        claims.join(stats.question_facts(on_claimed), "question_id", "left")
+        .join(citations(cited_ids(claims, rows)), "question_id", "left")
         .join(fill_candidates(on_claimed), "question_id", "left")
     )
     limit = vocab.CLAIM_MAX_WORDS
@@ -218,7 +218,7 @@ def guard(claims: DataFrame, rows: DataFrame) -> DataFrame:
         "divide_claimed": divide_claimed,
         "groups": groups,
         "evidence": _choose(
-            F.col("given"), F.when(F.col("exists"), F.col("side_pairs")), F.col("fill"), F.col("n_commenters")
+            F.col("given"), F.when(F.col("exists"), F.col("sided")), F.col("fill"), F.col("n_commenters")
         ),
         "text": F.when(unsupported, F.concat(
             F.lit("No material disagreement between distinct commenters is on record so far; the debate concerns "),

@@ -94,9 +94,13 @@ def question_stats(rows: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def response_type_distribution(rows: DataFrame) -> DataFrame:
-    """Response types by distinct commenters and by positions, unknown last."""
+def question_facts(rows: DataFrame) -> DataFrame:
+    """What a claim about a question rests on, in one pass: counts, response
+    types by distinct commenters and by positions (unknown last), and the groups
+    with enough distinct commenters to be compared."""
     totals = _question_totals(commenter_rollup(rows), ["question_id"])
+    mix = _ordered_map(sorted(vocab.STAKEHOLDER_TYPES), "group")
+    enough = F.map_filter(mix, lambda _, n: n >= vocab.MIN_COMMENTERS_FOR_TENSION)
     return totals.select(
         "question_id",
         "distinct_commenters",
@@ -104,15 +108,16 @@ def response_type_distribution(rows: DataFrame) -> DataFrame:
         "positions",
         _ordered_map(_TYPES, "by_commenters").alias("by_distinct_commenters"),
         _ordered_map(_TYPES, "by_positions").alias("by_positions"),
+        F.map_keys(enough).alias("comparable_groups"),
     )
 
 
+def response_type_distribution(rows: DataFrame) -> DataFrame:
+    return question_facts(rows).drop("comparable_groups")
+
+
 def comparable_groups(rows: DataFrame) -> DataFrame:
-    """Groups with enough distinct commenters on a question to be compared."""
-    totals = _question_totals(commenter_rollup(rows), ["question_id"])
-    mix = _ordered_map(sorted(vocab.STAKEHOLDER_TYPES), "group")
-    enough = F.map_filter(mix, lambda _, n: n >= vocab.MIN_COMMENTERS_FOR_TENSION)
-    return totals.select("question_id", F.map_keys(enough).alias("comparable_groups"))
+    return question_facts(rows).select("question_id", "comparable_groups")
 
 
 def dominant_of(by_commenters: str, values=None) -> Column:

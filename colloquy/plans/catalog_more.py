@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from colloquy import vocab
 from colloquy.operators import assemble, changes, compare, facets, freshness, guards, stats, validate
 from colloquy.plans.catalog import docket_query, query, show_list, show_map
+from colloquy.session import cut_lineage
 from colloquy.sources import driver_tables as src
 
 PROMPT, PROCESSING, MODEL = "1.0.0", "2026.1", "scorer-a"
@@ -344,7 +345,7 @@ def question_analyses(d):
 
 @docket_query
 def synthesis_report(d):
-    return guards.report(d.questions, _published(d), d.linked).select(
+    return guards.report(d.questions, cut_lineage(_published(d)), d.linked).select(
         "question_id", "status", "at", "position_id", "short_title", "display_name", "stakeholder_type", "response_type",
         "public_summary",
     )
@@ -391,8 +392,8 @@ def violations(d):
 def clean_docket_violations(d):
     """The docket as published, with its gaps and cards: no rule is broken."""
     positions = assemble.public_positions(d.linked)
-    per_question = stats.question_stats(d.question_rows, d.questions)
-    gaps = stats.gap_stats(d.linked, d.gaps)
+    per_question = cut_lineage(stats.question_stats(d.question_rows, d.questions))
+    gaps = cut_lineage(stats.gap_stats(d.linked, d.gaps))
     metrics = stats.docket_metrics(d.submissions, d.linked, d.questions)
     cards = stats.signal_cards(d.questions, per_question, gaps, stats.stance_totals(d.linked))
     found = validate.union([
@@ -411,7 +412,8 @@ def clean_docket_violations(d):
 def analysis_violations(d):
     """Rules on published analyses, with faults put in by question."""
     number = vocab.question_number(F.col("question_id"))
-    analyses = _published(d).withColumns({
+    # One row per question, read by every rule: kept instead of recomputed.
+    analyses = cut_lineage(_published(d)).withColumns({
         "status": F.when(number == 4, F.lit("draft")).otherwise(F.col("status")),
         "saying": F.when(number == 7, F.lit("The market — decides")).otherwise(F.col("saying")),
         "evidence_position_ids": F.when(number == 8, F.array(F.lit("p-gone"))).otherwise(F.col("evidence_position_ids")),
