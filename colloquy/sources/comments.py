@@ -37,7 +37,7 @@ def text_meta(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_text(spark: SparkSession, folder: str) -> DataFrame:
     """Whole text files as ``comment_id, text``."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return files.select(_stem(r"\.txt$").alias("comment_id"), F.col("value").alias("text"))
 
 
