@@ -70,7 +70,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         vocab.STAKEHOLDER_TYPES,
         f"(array_position({vocab.sql_array(SEGMENTS)}, c_mktsegment) - 1) * 2 + c_nationkey % 2",
     )
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customer = table(spark, sf_dir, "customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").selectExpr(
         "cast(o_orderkey AS string) AS comment_id",
@@ -90,7 +90,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per position before any filter."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part")
     n = vocab.N_QUESTIONS
     quantity = "cast(l_quantity AS int)"
