@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from colloquy import vocab
 
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same characters one by one, for trimming.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+) + "\u2028\u2029\u202f\u205f\u3000"
 # Printable ASCII is decided first; most characters then cost a single test.
 BLANK = rf"[[^!-~]&&[{SPACE}]]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -21,7 +25,7 @@ SENTENCE_BREAK = rf"(?<=[.!?]){BLANK}+"
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:
@@ -91,13 +95,13 @@ def match_norm(text: Column) -> Column:
 
 def slug(text: Column) -> Column:
     dashed = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, 60)
+    return F.substring(F.btrim(dashed, F.lit("-")), 1, 60)
 
 
 def full_slug(text: Column) -> Column:
     """The slug without the length limit: the identity key of an organization."""
     dashed = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-")
-    return F.regexp_replace(dashed, r"^-+|-+$", "")
+    return F.btrim(dashed, F.lit("-"))
 
 
 _ESCAPE = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"
@@ -142,7 +146,7 @@ def has_broken_escapes(text: Column) -> Column:
 
 def strip_quotes(text: Column) -> Column:
     """Trim, drop straight double quotes at both ends."""
-    return F.regexp_replace(strip(F.coalesce(text, F.lit(""))), '^"+|"+$', "")
+    return F.btrim(strip(F.coalesce(text, F.lit(""))), F.lit('"'))
 
 
 def is_pointer(body: Column) -> Column:
