@@ -147,14 +147,14 @@ def line_report(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id",
     ).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     joined = rows.alias("r").join(gone, F.expr("r.doc_id <=> gone_id AND r.tie = gone_tie"), "left")
     return joined.select(
-        "r.doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(F.col("places").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
+        "r.doc_id", "n_lines", F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("__places").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
     )
 
 
 def _by_document(places: DataFrame) -> DataFrame:
     """Removed line numbers of each document; as many as it has lines at most."""
-    return places.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return places.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.array_sort(F.collect_set("place")).alias("__places"))
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,8 +165,8 @@ def drop_repeated_lines(docs: DataFrame, threshold: float = 0.8, doc_id: str = "
     own, columns = F.col(f"`{text}`"), docs.columns
     marked = docs.alias("d").join(gone, F.expr(f"cast(d.`{doc_id}` AS bigint) <=> gone_id AND xxhash64(d.`{text}`) = gone_tie"), "left")
     kept = F.array_join(
-        F.filter(F.split(F.col(f"d.`{text}`"), "\n", -1), lambda line, i: ~F.array_contains("places", i)), "\n"
+        F.filter(F.split(F.col(f"d.`{text}`"), "\n", -1), lambda line, i: ~F.array_contains("__places", i)), "\n"
     )
-    new = F.when(F.col("places").isNull(), F.col(f"d.`{text}`")).otherwise(kept)
-    out = marked.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in columns], F.col("places").isNotNull().alias("__cut"))
+    new = F.when(F.col("__places").isNull(), F.col(f"d.`{text}`")).otherwise(kept)
+    out = marked.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in columns], F.col("__places").isNotNull().alias("__cut"))
     return out.filter(~F.col("__cut") | (F.trim(own, F.lit(BLANKS)) != "")).drop("__cut")

@@ -74,8 +74,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, identity_terms=IDENTITY_TERMS, penalty: float = 1.0, l2: float = 1e-3,
-    max_rows: int = 20_000, max_features: int = 4096, min_rows: int = 5, rounds: int = 150,
+    docs: DataFrame, labels: DataFrame, identity_terms=IDENTITY_TERMS, penalty: float = 1.0, l2: float = 3e-4,
+    max_rows: int = 20_000, max_features: int = 4096, min_rows: int = 5, rounds: int = 200,
     doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` marks 0 or 1 (a document
@@ -126,18 +126,22 @@ def fit(
 
 def descend(n: int, rows: list[list[int]], y: np.ndarray, pairs, bias: float, penalty: float, l2: float, rounds: int):
     """Adam on mean log loss + l2 |w|^2 / 2 + penalty * mean squared change of
-    the raw score over the swapped pairs."""
+    the raw score over the swapped pairs.  A row of the rarer label weighs more,
+    by the root of how much rarer it is."""
+    rare = math.sqrt(max(len(y) - y.sum(), 1) / max(y.sum(), 1))
+    weight = np.where(y > 0, max(rare, 1), max(1 / rare, 1))
+    weight /= max(weight.sum(), 1)
     def sparse(lists):
         return np.repeat(np.arange(len(lists)), [len(r) for r in lists]), np.fromiter((j for r in lists for j in r), np.int64)
 
     at, col = sparse(rows)
     zat, zcol = sparse([z for _, z in pairs])
     own = np.array([i for i, _ in pairs], np.int64)
-    weights, step = np.zeros(n), 0.05
+    weights, step = np.zeros(n), 0.1
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
         raw = bias + np.bincount(at, weights[col], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - y) / max(len(rows), 1)
+        error = weight * (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - y)
         if len(own):
             change = 2 * penalty / len(own) * (raw[own] - bias - np.bincount(zat, weights[zcol], len(own)))
             moved = np.zeros(len(rows))

@@ -99,11 +99,12 @@ def test_toxicity_of_awkward_rows(spark, docs, empty):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     scored = by_id(queries.QUERIES["op1_toxicity"](spark, folder))
     labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
     held = [(scored[r.doc_id].predicted, r.toxic) for r in labels if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert len(held) > 40 and sum(p == y for p, y in held) / len(held) > 0.95
+    assert len(held) > 400 and sum(p == y for p, y in held) / len(held) > 0.97
+    assert not any(p and not y for p, y in held)
 
 
 # --- url rules --------------------------------------------------------------

@@ -28,7 +28,7 @@ def test_every_operator_is_registered():
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     clean = {i: " ".join(f"{w}{i}" for w in ("calm", "river", "stone", "paper", "winter", "garden", "music", "bridge")) for i in range(40)}
     item = "the benchmark asks which of seven bridges a walker may cross only once before noon"
-    docs = {**clean, 50: "you vile idiot " + clean[1], 51: "you vile idiot and scum " + clean[2], 60: clean[5], 61: clean[6] + "\n" + clean[7] + " own words",
+    docs = {**clean, 50: "you vile idiot " + clean[1], 51: "you vile idiot and scum " + clean[2], 60: clean[5], 61: clean[6] + "\n" + clean[7] + " own words of another kind",
             70: clean[8] + " more " + item + " again", 80: None, 81: ""}
     rows = [(k, t, "en", "src", None if t is None else len(t)) for k, t in docs.items()]
     tables = {
@@ -54,7 +54,7 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert set(clean) <= set(seen["toxicity"]) and not {50, 51, 1001} & set(seen["toxicity"])
     assert 60 not in seen["line_dedup"] and set(clean) <= set(seen["line_dedup"])
     # One line goes, and with it its place in n_chars.
-    assert seen["line_dedup"][61].text == clean[7] + " own words" and seen["line_dedup"][61].n_chars == len(clean[7] + " own words")
+    assert seen["line_dedup"][61].text == clean[7] + " own words of another kind" and seen["line_dedup"][61].n_chars == len(clean[7] + " own words of another kind")
     assert {80, 81} <= set(seen["line_dedup"]) and len({80, 81} & set(seen["simhash"])) == 1
     assert 70 in seen["simhash"] and 70 not in seen["decontamination"]
     assert set(clean) <= set(seen["bpe"]) and all(r.decoded_equal for r in seen["bpe"].values())
