@@ -1,16 +1,29 @@
-"""What the two byte-pair operators share: how a public vocabulary file cuts a text."""
+"""What the two byte-pair operators share: words of a text, their ids, and the way back.
+
+A word here ends before a blank that stands alone between two other characters;
+that blank opens the next word.  The library's own pattern never joins anything
+across such a place, so a text's ids are those of its words, one after the other.
+"""
 
 from __future__ import annotations
 
 import functools
-import json
+import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 
-#: The word pattern of byte-level vocabularies, as the tokenizers library applies it.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the blank and the line end.
+_RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SLICE = 4096
+
+
+def words(text: str) -> list[str]:
+    """The words of a text in order; together they are the text."""
+    plain = not ("  " in text or " \n" in text or "\n " in text) and not any(c in text for c in _RARE)
+    parts = text.split(" ") if plain else _BETWEEN.split(text)
+    return parts[:1] + [" " + p for p in parts[1:]]
 
 
 @functools.lru_cache(maxsize=2)
@@ -23,53 +36,36 @@ def tokenizer(path: str):
     return found
 
 
-@functools.lru_cache(maxsize=2)
-def cutter(path: str):
-    """``cut(text)``: the words of a text; a special token's string is a word of its own."""
-    with open(path, encoding="utf-8") as file:
-        special = sorted((t["content"] for t in json.load(file)["added_tokens"]), key=len, reverse=True)
-    word = regex.compile(WORD_PATTERN).findall
-    if not special:
-        return word
-    apart = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split
-
-    def cut(text: str) -> list[str]:
-        if not any(s in text for s in special):
-            return word(text)
-        words: list[str] = []
-        for i, piece in enumerate(apart(text)):
-            words += [piece] if i % 2 else word(piece)
-        return words
-
-    return cut
-
-
 def encode_words(path: str, words: list[str]) -> pa.ListArray:
-    """Ids of each word, by the library."""
-    encoded = [e.ids for e in tokenizer(path).encode_batch(words, add_special_tokens=False)]
-    offsets = np.zeros(len(words) + 1, np.int32)
-    np.cumsum([len(ids) for ids in encoded], out=offsets[1:])
-    flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    """Ids of each word, by the library, some at a time."""
+    sizes, flat = [], []
+    for at in range(0, len(words), _SLICE):
+        ids = [e.ids for e in tokenizer(path).encode_batch(words[at : at + _SLICE], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+        flat.append(np.fromiter((i for own in ids for i in own), np.uint32, int(sizes[-1].sum())))
+    offsets = np.append(np.int32(0), np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int32)]), dtype=np.int32))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat or [np.zeros(0, np.uint32)])))
 
 
-class Vocabulary:
-    """Words with their ids, laid out for look-ups of many words at once."""
+class Numbered:
+    """Distinct words numbered in the order met, and texts as such numbers."""
 
-    def __init__(self, words: list[str], ids: pa.ListArray):
-        self.place = {w: i for i, w in enumerate(words)}
-        offsets = ids.offsets.to_numpy()
-        self.starts, self.sizes = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
-        self.flat = ids.values.to_numpy()
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.texts: list[np.ndarray] = []
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def add(self, text: str | None) -> None:
         place = self.place
-        at = np.fromiter((place[w] for w in words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        step = np.arange(total) - np.repeat(ends - sizes, sizes)
-        return self.flat[np.repeat(self.starts[at], sizes) + step].astype("<u4")
+        self.texts.append(np.fromiter((place.setdefault(w, len(place)) for w in words(text or "")), np.int32))
+
+
+def text_ids(ids: pa.ListArray, places: np.ndarray) -> np.ndarray:
+    """The ids of words, one after the other."""
+    offsets = ids.offsets.to_numpy()
+    starts, sizes = offsets[places].astype(np.int64), (offsets[places + 1] - offsets[places]).astype(np.int64)
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids.values.to_numpy()[np.repeat(starts - ends + sizes, sizes) + np.arange(total)].astype("<u4")
 
 
 @functools.lru_cache(maxsize=2)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,12 @@ def _texts(part: pa.Table):
             yield from chunk.slice(start, 256).to_pylist()
 
 
-def _distinct(path: str, docs: pa.Table) -> list[str]:
-    cut, seen = bpe.cutter(path), set()
+def _numbered(docs: pa.Table) -> bpe.Numbered:
+    held = bpe.Numbered()
     for part in blobs(docs):
         for text in _texts(part):
-            seen.update(cut(text or ""))
-    return sorted(seen)
+            held.add(text)
+    return held
 
 
 def _dealt(words: list[str], buckets: int) -> dict[int, list[str]]:
@@ -42,10 +43,10 @@ def _dealt(words: list[str], buckets: int) -> dict[int, list[str]]:
     return out
 
 
-def _ask(path: str, buckets: int):
+def _ask(buckets: int):
     def ask(docs: pa.Table) -> pa.Table:
         block = docs["block"][0].as_py()
-        dealt = sorted(_dealt(_distinct(path, docs), buckets).items())
+        dealt = sorted(_dealt(sorted(_numbered(docs).place), buckets).items())
         return pa.table({
             "bucket": pa.array([b for b, _ in dealt], pa.int32()), "block": pa.array([block] * len(dealt), pa.int32()),
             "words": pa.array([to_blob(pa.table({"word": w})) for _, w in dealt], pa.binary()),
@@ -75,22 +76,25 @@ def _encode(path: str, buckets: int, with_ids: bool):
     def encode(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "decoded_equal": [], "ids": []}
         if docs.num_rows:
-            dealt = _dealt(_distinct(path, docs), buckets)
+            held = _numbered(docs)
+            dealt = _dealt(sorted(held.place), buckets)
             told = {b: i for i, b in enumerate(answers["bucket"].to_pylist())}
             parts = [from_blob(answers["ids"][told[b]].as_buffer())["ids"].combine_chunks() for b in dealt]
-            none = pa.array([], pa.list_(pa.uint32()))
-            known = bpe.Vocabulary([w for ws in dealt.values() for w in ws], pa.concat_arrays(parts) if parts else none)
-            cut = bpe.cutter(path)
+            ids_of = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.uint32()))
+            # From the numbers given here to the order in which the words were asked.
+            asked = np.empty(len(held.place), np.int64)
+            asked[[held.place[w] for ws in dealt.values() for w in ws]] = np.arange(len(asked))
+            texts = iter(held.texts)
             for part in blobs(docs):
                 out["doc_id"] += part["doc_id"].to_pylist()
                 for text in _texts(part):
-                    ids = known.ids(cut(text or ""))
+                    ids = bpe.text_ids(ids_of, asked[next(texts)])
                     decoded = bpe.decode(path, ids)
                     out["n_tokens"].append(len(ids))
                     out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                     out["decoded_equal"].append(decoded == (text or "").encode())
-                    out["ids"].append(ids if with_ids else None)
+                    out["ids"].append(ids.view(np.int32) if with_ids else None)
         return pa.table({
             "doc_id": pa.array(out["doc_id"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
             "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string()),
@@ -113,7 +117,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id",
     blocks = block_count(rows, "text")
     packed = pack(rows.withColumn("block", hashed_block(blocks, "doc_id", "text")))
     answers = (
-        packed.groupBy("block").applyInArrow(_ask(vocabulary, blocks), "bucket int, block int, words binary")
+        packed.groupBy("block").applyInArrow(_ask(blocks), "bucket int, block int, words binary")
         .groupBy("bucket").applyInArrow(_answer(vocabulary), "block int, bucket int, ids binary")
     )
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(

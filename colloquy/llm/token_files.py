@@ -22,7 +22,8 @@ from colloquy.llm import bpe
 from colloquy.llm.blocks import blobs, block_count, pack
 
 NO_ID = np.iinfo(np.int64).min
-SAMPLE_PER_BLOCK, SAMPLE_MOST = 64, 1_000_000
+BLOCK_CHARS = 8 << 20
+SAMPLE_PER_BLOCK, SAMPLE_MOST = 1024, 1_000_000
 
 
 def _bounds(rows: DataFrame, blocks: int) -> list[tuple[int, int]]:
@@ -61,25 +62,27 @@ def _encode(path: str, end_id: int | None):
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def encode(docs: pa.Table) -> pa.Table:
-        cut, seen = bpe.cutter(path), set()
-        for part in blobs(docs):
-            for text in _strings(part["text"]):
-                seen.update(cut(text or ""))
-        words = list(seen)
-        known = bpe.Vocabulary(words, bpe.encode_words(path, words))
-        places, ids = [], []
+        held, places = bpe.Numbered(), []
         for part in blobs(docs):
             places += zip(part["doc_id"].fill_null(NO_ID).to_pylist(), part["tie"].to_pylist(), part["doc_id"].to_pylist())
-            ids += [np.concatenate([known.ids(cut(text or "")), tail]).view(np.int32) for text in _strings(part["text"])]
-        order = sorted(range(len(ids)), key=lambda i: places[i][:2])
-        sizes = np.array([len(ids[i]) for i in order], np.int64)
+            for text in _strings(part["text"]):
+                held.add(text)
+        ids_of = bpe.encode_words(path, list(held.place))
+        held.place.clear()
+        order = sorted(range(len(places)), key=lambda i: places[i][:2])
+        per_word = np.diff(ids_of.offsets.to_numpy())
+        sizes = np.array([int(per_word[held.texts[i]].sum()) + len(tail) for i in order], np.int64)
         offsets = np.append(0, np.cumsum(sizes))
+        flat = np.empty(int(offsets[-1]), np.int32)
+        for i, s, e in zip(order, offsets.tolist(), offsets[1:].tolist()):
+            flat[s : e - len(tail)] = bpe.text_ids(ids_of, held.texts[i]).view(np.int32)
+            flat[e - len(tail) : e] = tail.view(np.int32)
         return pa.table({
             "doc_id": pa.array([places[i][2] for i in order], pa.int64()),
             "ordinal": pa.array(np.arange(len(order)), pa.int64()),
             "start_in_block": pa.array(offsets[:-1], pa.int64()),
             "n_tokens": pa.array(sizes, pa.int64()),
-            "tokens": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([ids[i] for i in order]))),
+            "tokens": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
             "block": pa.array([docs["block"][0].as_py()] * len(order), pa.int32()),
         })
 
@@ -97,7 +100,7 @@ def write_tokens(
     with one id come in the order of a hash of their texts.  An empty table
     leaves a folder without rows.  Other columns of ``docs`` are not read."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    bounds = _bounds(rows, block_count(rows, "text"))
+    bounds = _bounds(rows, block_count(rows, "text", BLOCK_CHARS))
     encoded = pack(rows, _by_range(bounds)).groupBy("block").applyInArrow(
         _encode(vocabulary, end_id), "doc_id long, ordinal long, start_in_block long, n_tokens long, tokens array<int>, block int"
     )

@@ -65,16 +65,17 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """Texts with a label of 0 or 1, thinned by a hash of their id to about ``max_rows``."""
+    """Texts with a label of 0 or 1, thinned by a hash of their id to about
+    ``max_rows``; that many (id, label) rows are broadcast, and no text is shuffled."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
     known = known.groupBy("__id").agg(F.max("y").alias("y"))
     n = known.count()
     kept = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, max_rows / max(n, 1))))
-    return docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(kept, "__id").select("text", "y")
+    return docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(kept), "__id").select("text", "y")
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, identity_terms=IDENTITY_TERMS, penalty: float = 1.0, l2: float = 3e-4,
+    docs: DataFrame, labels: DataFrame, identity_terms=IDENTITY_TERMS, penalty: float = 1.0, l2: float = 1e-3,
     max_rows: int = 20_000, max_features: int = 4096, min_rows: int = 5, rounds: int = 200,
     doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> Model:
@@ -127,8 +128,8 @@ def fit(
 def descend(n: int, rows: list[list[int]], y: np.ndarray, pairs, bias: float, penalty: float, l2: float, rounds: int):
     """Adam on mean log loss + l2 |w|^2 / 2 + penalty * mean squared change of
     the raw score over the swapped pairs.  A row of the rarer label weighs more,
-    by the root of how much rarer it is."""
-    rare = math.sqrt(max(len(y) - y.sum(), 1) / max(y.sum(), 1))
+    by the fourth root of how much rarer it is."""
+    rare = (max(len(y) - y.sum(), 1) / max(y.sum(), 1)) ** 0.25
     weight = np.where(y > 0, max(rare, 1), max(1 / rare, 1))
     weight /= max(weight.sum(), 1)
     def sparse(lists):

@@ -66,7 +66,7 @@ def by_id(df):
 # --- words, blocks ----------------------------------------------------------
 
 def small_blocks(monkeypatch, module):
-    monkeypatch.setattr(module, "block_count", lambda docs, text: 4)
+    monkeypatch.setattr(module, "block_count", lambda docs, text, block_chars=0: 4)
 
 
 # --- toxicity ---------------------------------------------------------------
