@@ -99,8 +99,9 @@ def slug(text: Column) -> Column:
 
 
 def full_slug(text: Column) -> Column:
-    """The slug without the length limit: the identity key of an organization."""
-    dashed = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-")
+    """The slug without the length limit, letters of every script kept: the
+    identity key of an organization."""
+    dashed = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-")
     return F.btrim(dashed, F.lit("-"))
 
 

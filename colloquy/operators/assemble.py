@@ -71,12 +71,14 @@ def commenter_key() -> Column:
 
 
 def commenter_id() -> Column:
-    """Id made from the key alone, so no lookup is needed.  A slug cut at its
-    length limit gets a digest, so distinct keys keep distinct ids."""
+    """Id made from the key alone, so no lookup is needed.  Where the slug shown
+    loses something of the key (length, letters outside ASCII), a digest of the
+    key follows, so distinct keys keep distinct ids."""
     key = commenter_key()
     tail = F.lower(F.regexp_replace(key, "^(org|comment):", ""))
-    short = F.concat(F.lit("c-"), F.substring(tail, 1, 60))
-    return F.when(F.length(tail) > 60, F.concat(short, F.lit("-"), F.substring(F.sha2(key, 256), 1, 8))).otherwise(short)
+    shown = F.when(F.startswith(key, F.lit("org:")), T.slug(tail)).otherwise(F.substring(tail, 1, 60))
+    short = F.concat(F.lit("c-"), shown)
+    return F.when(shown != tail, F.concat(short, F.lit("-"), F.substring(F.sha2(key, 256), 1, 8))).otherwise(short)
 
 
 def commenters(accepted_rows: DataFrame) -> DataFrame:

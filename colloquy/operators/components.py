@@ -18,15 +18,15 @@ def _settled(edges: DataFrame) -> bool:
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Point neighbours at the least node around them.
 
-    A node's least neighbour is one aggregate row, joined back to its edges; a
-    hub with very many edges is the skewed side of a plain equi-join, which
-    adaptive execution splits."""
+    A node's least neighbour is one aggregate row.  It is written out before it
+    is joined back: then both sides of the join are shuffled for it, and adaptive
+    execution can split the edges of a hub."""
     if larger:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
         moved = (
             edges.join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -18,7 +18,7 @@ from colloquy.functions import text as T
 from colloquy.operators import stats
 
 STRINGS = "array<string>"
-UNSUPPORTED_NOTE = "The current docket does not yet support a reliable stakeholder comparison on this question."
+UNSUPPORTED_NOTE = "Too few commenters on each side to compare groups on this question so far."
 
 
 def tidy(text: Column) -> Column:

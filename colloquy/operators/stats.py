@@ -315,6 +315,7 @@ def _q_code(question_id: Column) -> Column:
     return F.concat(F.lit("Q"), vocab.question_number(question_id).cast("string"))
 
 
+BLIND_SPOT_CLAIM = 900  # after every card of its own, before the stand-ins
 CARD = ["category", "label", "headline", "detail", "evidence", "target_question_id"]
 
 
@@ -377,7 +378,7 @@ def signal_cards(questions: DataFrame, stats: DataFrame, gaps: DataFrame, totals
     ).filter("g is not null").select("g.*")
     codes = F.array_join(F.transform("question_ids", _q_code), ", ")
     blind_spot = spot.select(
-        F.lit(900).alias("claim"),
+        F.lit(BLIND_SPOT_CLAIM).alias("claim"),
         F.lit("blind_spot").alias("category"),
         F.lit("Emerging blind spot").alias("label"),
         F.col("title").alias("headline"),
@@ -413,17 +414,18 @@ def signal_cards(questions: DataFrame, stats: DataFrame, gaps: DataFrame, totals
     cards = reduce(DataFrame.unionByName, [*frames, blind_spot, fillers])
 
     # A dozen rows at most: gather, drop a stand-in whose category is already
-    # claimed, take the first three claims, then put them in display order.
+    # claimed.  The blind spot and stand-ins only fill up to the number shown;
+    # what is left is put in display order and then cut.
     ordered = F.array_sort(F.collect_list(F.struct("claim", *CARD)))
     claimed = F.transform(F.filter(ordered, lambda c: c["claim"] < 1000), lambda c: c["category"])
     kept = F.filter(
         F.col("ordered"), lambda c: (c["claim"] < 1000) | ~F.array_contains(F.col("claimed"), c["category"])
     )
-    shown = cards.agg(ordered.alias("ordered"), claimed.alias("claimed")).select(
-        F.explode(F.slice(kept, 1, vocab.SIGNAL_COUNT)).alias("c")
-    ).select("c.*")
+    own = F.size(F.filter(F.col("ordered"), lambda c: c["claim"] < BLIND_SPOT_CLAIM))
+    enough = F.slice(kept, F.lit(1), F.greatest(own, F.lit(vocab.SIGNAL_COUNT)))
     place = F.coalesce(vocab.ordinal(vocab.SIGNAL_ORDER, F.col("category")), F.lit(99))
-    return shown.withColumn("display_order", place).orderBy("display_order", "claim").drop("claim")
+    shown = cards.agg(ordered.alias("ordered"), claimed.alias("claimed")).select(F.explode(enough).alias("c")).select("c.*")
+    return shown.withColumn("display_order", place).orderBy("display_order", "claim").limit(vocab.SIGNAL_COUNT).drop("claim")
 
 
 def _curated_cards(curated: DataFrame, stats: DataFrame, gaps: DataFrame) -> DataFrame:
