@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_CHARS = 16 << 20
-CODEC = "zstd"
+CODEC, LEVEL = "zstd", 6
 
 
 def block_count(docs: DataFrame, text: str, block_chars: int = BLOCK_CHARS) -> int:
@@ -56,7 +56,7 @@ def pack(df: DataFrame, assign=None) -> DataFrame:
 
 def to_blob(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec(CODEC, compression_level=LEVEL))) as writer:
         writer.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 

@@ -59,7 +59,7 @@ def _block_counts(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for part in blobs(table):
         train = part["train"].to_numpy()
         for first, texts in chunks(_texts(part)):
-            tokens, pairs, before, starts = _keys(Words(texts, lower=True))
+            tokens, pairs, _, starts = _keys(Words(texts, lower=True))
             counted = np.repeat(train[first : first + len(texts)], np.diff(starts)).astype(np.float64)
             # START is asked for too, as the predecessor of every first token.
             opening = np.full(len(texts), START)
@@ -136,9 +136,13 @@ def _counted_chunks(docs: pa.Table, answers: pa.Table):
     }
     for part in blobs(docs):
         for first, texts in chunks(_texts(part)):
-            tokens, pairs, before, starts = _keys(Words(texts, lower=True))
+            tokens, pairs, _, starts = _keys(Words(texts, lower=True))
             look = lambda kind, keys: totals[kind][np.searchsorted(own[kind][0], keys)]
-            yield part, first, starts, look(WORDS, tokens), look(PAIRS, pairs), look(WORDS, before)
+            word, opening = look(WORDS, tokens), look(WORDS, np.array([START]))[0]
+            context = np.empty_like(word)  # a predecessor's count as a word is its count as a context
+            context[1:] = word[:-1]
+            context[starts[:-1]] = opening
+            yield part, first, starts, word, look(PAIRS, pairs), context
 
 
 def _deleted_histogram(n_tokens: int, n_kinds: int):
