@@ -53,23 +53,49 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return keys, np.bincount(at, np.concatenate(counts or [np.zeros(0)]), len(keys)).astype(np.int64)
 
 
-def _block_counts(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Distinct keys of a block in order, with their occurrences in training documents."""
-    held = {WORDS: ([], []), PAIRS: ([], [])}
+class _Tally:
+    """Distinct keys in order, with counts where wanted.  What waits is merged
+    once it outweighs what is merged, so a key is sorted a few times at most."""
+
+    def __init__(self, counted: bool):
+        self.keys, self.counts, self.counted = [np.zeros(0, np.uint64)], [np.zeros(0)], counted
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.keys.append(keys)
+        if self.counted:
+            self.counts.append(counts)
+        if sum(map(len, self.keys[1:])) > max(len(self.keys[0]), 1 << 18):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.counted:
+            keys, counts = _merged(self.keys, self.counts)
+            self.counts = [counts]
+        else:  # a plain sort is several times as fast as one that keeps places
+            keys = np.sort(np.concatenate(self.keys))
+            keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+        self.keys = [keys]
+        return keys, self.counts[0]
+
+
+def _block_keys(table: pa.Table, counted: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of a block in order, with their occurrences in training documents if wanted."""
+    held = {WORDS: _Tally(counted), PAIRS: _Tally(counted)}
     for part in blobs(table):
         train = part["train"].to_numpy()
         for first, texts in chunks(_texts(part)):
             tokens, pairs, _, starts = _keys(Words(texts, lower=True))
-            counted = np.repeat(train[first : first + len(texts)], np.diff(starts)).astype(np.float64)
             # START is asked for too, as the predecessor of every first token.
-            opening = np.full(len(texts), START)
+            tokens = np.concatenate([tokens, np.full(len(texts), START)])
+            if not counted:
+                held[WORDS].add(tokens)
+                held[PAIRS].add(pairs)
+                continue
             seen = train[first : first + len(texts)].astype(np.float64)
-            for kind, k, c in ((WORDS, np.concatenate([tokens, opening]), np.concatenate([counted, seen])), (PAIRS, pairs, counted)):
-                k, c = _merged([k], [c])
-                held[kind][0].append(k)
-                held[kind][1].append(c)
-        held = {kind: tuple([x] for x in _merged(*pair)) for kind, pair in held.items()}
-    return {kind: _merged(*pair) for kind, pair in held.items()}
+            inner = np.repeat(seen, np.diff(starts))
+            held[WORDS].add(tokens, np.concatenate([inner, seen]))
+            held[PAIRS].add(pairs, inner)
+    return {kind: tally.settle() for kind, tally in held.items()}
 
 
 def _texts(part: pa.Table):
@@ -86,7 +112,7 @@ def _requests(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         rows = []
-        for kind, (keys, counts) in _block_counts(table).items():
+        for kind, (keys, counts) in _block_keys(table, counted=True).items():
             for bucket, s, e in slices(keys, buckets):
                 rows.append((bucket, kind, block, squeeze_keys(keys[s:e]), squeeze(counts[s:e].astype(np.uint32))))
         return pa.Table.from_pylist(
@@ -128,7 +154,7 @@ def _bucket_of(contexts: np.ndarray) -> np.ndarray:
 def _counted_chunks(docs: pa.Table, answers: pa.Table):
     """For each chunk: its part, the index of its first document, places of
     documents, and for every token the counts of word, pair and predecessor."""
-    own = _block_counts(docs)
+    own = {kind: keys for kind, (keys, _) in _block_keys(docs, counted=False).items()}
     order = sorted(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), range(answers.num_rows)))
     totals = {
         kind: np.concatenate([unsqueeze(answers["totals"][i].as_py(), np.int64) for k, _, i in order if k == kind])
@@ -137,7 +163,7 @@ def _counted_chunks(docs: pa.Table, answers: pa.Table):
     for part in blobs(docs):
         for first, texts in chunks(_texts(part)):
             tokens, pairs, _, starts = _keys(Words(texts, lower=True))
-            look = lambda kind, keys: totals[kind][np.searchsorted(own[kind][0], keys)]
+            look = lambda kind, keys: totals[kind][np.searchsorted(own[kind], keys)]
             word, opening = look(WORDS, tokens), look(WORDS, np.array([START]))[0]
             context = np.empty_like(word)  # a predecessor's count as a word is its count as a context
             context[1:] = word[:-1]
