@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import bpe
 from colloquy.llm.blocks import blobs, block_count, pack
+from colloquy.llm.shared import shared_folder
 
 NO_ID = np.iinfo(np.int64).min
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 16 << 20
 SAMPLE_PER_BLOCK, SAMPLE_MOST = 1024, 1_000_000
 
 
@@ -51,39 +52,29 @@ def _by_range(bounds: list[tuple[int, int]]):
     return assign
 
 
-def _strings(column):
-    for chunk in column.chunks:
-        for start in range(0, len(chunk), 256):
-            yield from chunk.slice(start, 256).to_pylist()
-
-
 def _encode(path: str, end_id: int | None):
     """Encode a block: each of its distinct words once."""
-    tail = np.array([] if end_id is None else [end_id], "<u4")
+    tail = [] if end_id is None else [end_id]
 
     def encode(docs: pa.Table) -> pa.Table:
-        held, places = bpe.Numbered(), []
-        for part in blobs(docs):
-            places += zip(part["doc_id"].fill_null(NO_ID).to_pylist(), part["tie"].to_pylist(), part["doc_id"].to_pylist())
-            for text in _strings(part["text"]):
-                held.add(text)
-        ids_of = bpe.encode_words(path, list(held.place))
-        held.place.clear()
-        order = sorted(range(len(places)), key=lambda i: places[i][:2])
-        per_word = np.diff(ids_of.offsets.to_numpy())
-        sizes = np.array([int(per_word[held.texts[i]].sum()) + len(tail) for i in order], np.int64)
-        offsets = np.append(0, np.cumsum(sizes))
-        flat = np.empty(int(offsets[-1]), np.int32)
-        for i, s, e in zip(order, offsets.tolist(), offsets[1:].tolist()):
-            flat[s : e - len(tail)] = bpe.text_ids(ids_of, held.texts[i]).view(np.int32)
-            flat[e - len(tail) : e] = tail.view(np.int32)
+        rows = pa.concat_tables(blobs(docs)).combine_chunks()
+        rows = rows.append_column("place", rows["doc_id"].fill_null(NO_ID)).sort_by([("place", "ascending"), ("tie", "ascending")])
+        words, first = bpe.cut(rows["text"].combine_chunks())
+        number = words.dictionary_encode()
+        ids_of = bpe.encode_words(path, number.dictionary.to_pylist())
+        number = number.indices.to_numpy()
+        ends = np.append(0, np.cumsum(np.diff(ids_of.offsets.to_numpy())[number], dtype=np.int64))[first]
+        flat = bpe.text_ids(ids_of, number).view(np.int32)
+        if tail:
+            flat = np.insert(flat, ends[1:], end_id)
+        offsets = ends + len(tail) * np.arange(len(ends))
         return pa.table({
-            "doc_id": pa.array([places[i][2] for i in order], pa.int64()),
-            "ordinal": pa.array(np.arange(len(order)), pa.int64()),
+            "doc_id": rows["doc_id"].combine_chunks(),
+            "ordinal": pa.array(np.arange(len(rows)), pa.int64()),
             "start_in_block": pa.array(offsets[:-1], pa.int64()),
-            "n_tokens": pa.array(sizes, pa.int64()),
+            "n_tokens": pa.array(np.diff(offsets), pa.int64()),
             "tokens": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-            "block": pa.array([docs["block"][0].as_py()] * len(order), pa.int32()),
+            "block": pa.array(np.full(len(rows), docs["block"][0].as_py()), pa.int32()),
         })
 
     return encode
@@ -116,11 +107,15 @@ SCHEMA = "doc_id long, ordinal long, start_in_block long, n_tokens long, tokens
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The rows written, with ``start``: how many ids all documents before hold.
-    Block offsets come from the metadata columns alone: one small row a block."""
+    Block offsets come from the metadata columns alone: one small row a block,
+    written first, so that Spark sees their size and shuffles no tokens while
+    they are small."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     sizes = rows.groupBy("block").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    folder = shared_folder(spark, "block-offsets")
+    sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).write.parquet(folder)
+    offsets = spark.read.schema("block int, offset long").parquet(folder)
     return rows.join(offsets, "block").select(
         "doc_id", "block", "ordinal", (F.col("offset") + F.col("start_in_block")).alias("start"), "n_tokens", "tokens"
     )
