@@ -46,39 +46,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
-def sentence_cut(text: Column, max_words: int) -> Column:
-    """Leading whole sentences within ``max_words``; else the first words."""
-    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("kept"))
-
-    def step(acc, sentence):
-        # Past the limit the count only grows, so nothing more is kept.
-        words = acc["words"] + word_count(sentence)
-        return vocab.once(words, lambda w: F.struct(
-            w.alias("words"), (acc["kept"] + (w <= max_words).cast("int")).alias("kept")
-        ))
-
-    def cut(trimmed):
-        def leading(sentences):
-            # A sentence holds a word at least, so more than this many never fit.
-            counted = F.slice(sentences, 1, max_words + 1)
-            kept = F.aggregate(counted, start, step, lambda acc: acc["kept"])
-            return F.slice(sentences, F.lit(1), kept)
+def _first_words(text: Column, n: int) -> Column:
+    """The text up to its ``n``-th word; it starts with a word or is empty."""
+    return F.regexp_extract(text, rf"^(?:{WORD}{BLANK}+){{0,{n - 1}}}{WORD}", 0)
+
+
+def _whole_sentences(first: Column, text: Column) -> Column:
+    """The sentences that end within ``first``, a head of ``text`` that stops
+    after a word; where none does, its words."""
+    ended = F.regexp_extract(F.concat(first, F.lit(" ")), rf"(?s)^(.*[.!?]){BLANK}", 1)
+    kept = F.when(F.length(first) == F.length(text), first).otherwise(ended)
+    return F.when(kept != "", F.regexp_replace(kept, SENTENCE_BREAK, " ")).otherwise(
+        F.regexp_replace(first, rf"{BLANK}+", " ")
+    )
 
-        whole = vocab.once(F.split(trimmed, SENTENCE_BREAK, -1), leading)
-        words = F.slice(F.regexp_extract_all(trimmed, F.lit(WORD), F.lit(0)), 1, max_words)
-        return vocab.once(whole, lambda w: F.array_join(F.when(F.size(w) > 0, w).otherwise(words), " "))
 
-    return vocab.once(strip(F.coalesce(text, F.lit(""))), cut)
+def sentence_cut(text: Column, max_words: int) -> Column:
+    """Leading whole sentences within ``max_words``; else the first words."""
+    trimmed = strip(F.coalesce(text, F.lit("")))
+    return vocab.once(F.struct(trimmed.alias("t"), _first_words(trimmed, max_words).alias("p")), lambda s: _whole_sentences(s["p"], s["t"]))
 
 
 def limit_words(text: Column, max_words: int) -> Column:
     """``STRUCT<text, cut>``: the text, cut at a sentence when it is too long."""
-    def limited(t):
-        return vocab.once(word_count(t) > max_words, lambda too_long: F.struct(
-            F.when(too_long, sentence_cut(t, max_words)).otherwise(t).alias("text"), too_long.alias("cut")
+    def limited(s):
+        return vocab.once(F.coalesce(F.length(s["p"]) < F.length(s["t"]), F.lit(False)), lambda too_long: F.struct(
+            F.when(too_long, _whole_sentences(s["p"], s["t"])).otherwise(s["given"]).alias("text"), too_long.alias("cut")
         ))
 
-    return vocab.once(text, limited)
+    trimmed = strip(text)
+    return vocab.once(F.struct(text.alias("given"), trimmed.alias("t"), _first_words(trimmed, max_words).alias("p")), limited)
 
 
 def passage_key(passage: Column) -> Column:

@@ -279,12 +279,14 @@ def position_lines(rows: DataFrame) -> DataFrame:
     return rows.select("question_id", "position_id", F.lower("commenter").alias("reading_order"), line.alias("line"))
 
 
-def input_fingerprint(rows: DataFrame) -> DataFrame:
-    """Hash of everything a claim about a question is made from.
+def input_fingerprint(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Hash of everything a claim about a question is made from: the question's
+    text (``short_title`` of ``questions``) and every position on it, with its
+    commenter and submission.
 
     Row digests are summed, so the hash ignores row order, changes with any row
     and needs constant state per question instead of a list of its rows."""
-    fields = ["position_id", "commenter", "stakeholder_type", "response_type", "stance", "primary_issue", "summary"]
+    fields = ["position_id", "commenter_id", "submission_id", "commenter", "stakeholder_type", "response_type", "stance", "primary_issue", "summary"]
     row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x1e")) for c in fields]))
 
     def part(start):
@@ -293,8 +295,9 @@ def input_fingerprint(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("question_id").agg(
         F.count("*").alias("n"), F.sum(part(1)).alias("high"), F.sum(part(16)).alias("low")
     )
-    digest = F.concat_ws("|", "question_id", "n", F.col("high").cast("string"), F.col("low").cast("string"))
-    return sums.select("question_id", T.content_hash(digest).alias("input_hash"))
+    asked = questions.select("question_id", F.md5(F.coalesce("short_title", F.lit(""))).alias("asked"))
+    digest = F.concat_ws("|", "question_id", "asked", "n", F.col("high").cast("string"), F.col("low").cast("string"))
+    return sums.join(asked, "question_id").select("question_id", T.content_hash(digest).alias("input_hash"))
 
 
 def published(questions: DataFrame, rows: DataFrame, records: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from colloquy import vocab
 from colloquy.operators import assemble, stats
 from colloquy.plans.docket import Docket
+from colloquy.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,7 +229,7 @@ def blind_spot(d):
 def signal_cards(d):
     return stats.signal_cards(
         d.questions,
-        stats.question_stats(d.question_rows, d.questions),
-        stats.gap_stats(d.linked, d.gaps),
+        cut_lineage(stats.question_stats(d.question_rows, d.questions)),
+        cut_lineage(stats.gap_stats(d.linked, d.gaps)),
         stats.stance_totals(d.linked),
     ).select("category", "headline", "evidence", "target_question_id")

@@ -304,7 +304,7 @@ def side_resolution(d):
 
 @docket_query
 def disagreement_guard(d):
-    return guards.guard(claims_of(d), d.question_rows).select(
+    return guards.guard(cut_lineage(claims_of(d)), d.question_rows).select(
         "question_id", "saying", "dominant_response_type", F.col("disagreement.exists").alias("disagreement_exists"),
         F.col("disagreement.text").alias("disagreement_text"), show_list("disagreement.about").alias("about"),
         F.col("stakeholder_divide.exists").alias("divide_exists"), F.col("stakeholder_divide.note").isNotNull().alias("has_note"),
@@ -314,14 +314,14 @@ def disagreement_guard(d):
 
 @docket_query
 def evidence_guard(d):
-    return guards.guard(claims_of(d), d.question_rows).select(
+    return guards.guard(cut_lineage(claims_of(d)), d.question_rows).select(
         "question_id", show_list("evidence_position_ids").alias("evidence"), show_list("downgrades").alias("downgrades")
     )
 
 
 @docket_query
 def input_fingerprint(d):
-    return guards.input_fingerprint(d.question_rows)
+    return guards.input_fingerprint(d.question_rows, d.questions)
 
 
 @docket_query
@@ -331,7 +331,7 @@ def position_lines(d):
 
 def _published(d):
     number = vocab.question_number(F.col("question_id"))
-    records = guards.guard(claims_of(d), d.question_rows).filter(number % 5 != 0).withColumn("fresh", number % 3 != 0)
+    records = guards.guard(cut_lineage(claims_of(d)), d.question_rows).filter(number % 5 != 0).withColumn("fresh", number % 3 != 0)
     return guards.published(d.questions, d.question_rows, records)
 
 

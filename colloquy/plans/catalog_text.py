@@ -116,7 +116,7 @@ def assembled_text(spark, sf_dir):
 def attachment_flatten(spark, sf_dir):
     pages = src.table(spark, sf_dir, "pages")
     included = F.expr(
-        "array(named_struct('id', concat('a', page_id), 'title', url, 'fileFormats', array("
+        "array(named_struct('type', if(page_id % 7 = 0, 'users', 'attachments'), 'id', concat('a', page_id), 'title', url, 'fileFormats', array("
         "named_struct('format', 'PDF', 'size', cast(length(html) AS bigint), 'fileUrl', concat(url, '/f.PDF')), "
         "named_struct('format', cast(NULL AS string), 'size', cast(NULL AS bigint), 'fileUrl', concat(url, '/g.DocX')), "
         "named_struct('format', 'txt', 'size', 1L, 'fileUrl', CASE WHEN page_id % 3 = 0 THEN NULL ELSE url END))))"

@@ -12,8 +12,8 @@ flags AS (SELECT comment_id, input_hash, k % 10 <> 0 AND k % 9 <> 0 AND k % 8 <>
 _add("freshness_flags", "SELECT comment_id, fresh FROM flags", STORED, prelude=False)
 _add("pending_rows", "SELECT comment_id, input_hash FROM flags WHERE NOT fresh", STORED, prelude=False)
 _add("pending_counts", "SELECT count(*) FILTER (fresh) AS fresh, count(*) FILTER (NOT fresh) AS pending FROM flags", STORED, prelude=False)
-NEWEST = """newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1),
-stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events WHERE event_type <> 'click') WHERE rn = 1)"""
+NEWEST = """newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1),
+stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'click') WHERE rn = 1)"""
 _add("latest_version", "SELECT user_id AS comment_id, event_id, event_type FROM newest", NEWEST, prelude=False)
 _add("changed_comments", "SELECT n.user_id AS comment_id, n.event_id FROM newest n LEFT JOIN stored s USING (user_id) "
      "WHERE s.user_id IS NULL OR s.ts <> n.ts", NEWEST, prelude=False)
@@ -236,10 +236,10 @@ SELECT question_id, array_to_string(ids, ',') AS evidence,
                  CASE WHEN len(ids) > len(chosen) THEN 'evidence_filled' END) AS downgrades
 FROM base JOIN evidence USING (question_id)""", CLAIMS)
 _add("input_fingerprint", """
-SELECT question_id, substr(sha256(question_id || '|' || n || '|' || h || '|' || l || chr(0)), 1, 16) AS input_hash FROM (
+SELECT question_id, substr(sha256(question_id || '|' || asked || '|' || n || '|' || h || '|' || l || chr(0)), 1, 16) AS input_hash FROM (SELECT question_id, md5(short_title) AS asked FROM questions) JOIN (
   SELECT question_id, count(*) AS n, sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS h, sum(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS l
-  FROM (SELECT question_id, md5(concat_ws(chr(31), position_id, commenter, stakeholder_type, coalesce(response_type, chr(30)), stance,
-        coalesce(primary_issue, chr(30)), summary)) AS d FROM qrows) GROUP BY 1)""")
+  FROM (SELECT question_id, md5(concat_ws(chr(31), position_id, commenter_id, submission_id, commenter, stakeholder_type, coalesce(response_type, chr(30)), stance,
+        coalesce(primary_issue, chr(30)), summary)) AS d FROM qrows) GROUP BY 1) USING (question_id)""")
 _add("position_lines", """
 SELECT question_id, position_id, md5(position_id || ' | ' || commenter || ' (' || g.label || '; group id ' || stakeholder_type || ') | response_type=' ||
        coalesce(response_type, 'unknown') || ' | stance=' || stance || ' | issue=' || primary_issue || ' | ' || summary) AS digest

@@ -106,7 +106,7 @@ SELECT CAST(page_id AS VARCHAR) AS comment_id, 'a' || page_id AS attachment_id,
        size, file_url, ext AS extension, page_id || '/a' || page_id || ext AS local_path
 FROM (SELECT page_id, url, 'PDF' AS format, length(html) AS size, url || '/f.PDF' AS file_url, '.pdf' AS ext FROM pages
       UNION ALL SELECT page_id, url, NULL, NULL, url || '/g.DocX', '.docx' FROM pages
-      UNION ALL SELECT page_id, url, 'txt', 1, url, '.txt' FROM pages WHERE page_id % 3 <> 0)""", prelude=False)
+      UNION ALL SELECT page_id, url, 'txt', 1, url, '.txt' FROM pages WHERE page_id % 3 <> 0) WHERE page_id % 7 <> 0""", prelude=False)
 
 # --- passages ---------------------------------------------------------------
 LINES = """lines AS (

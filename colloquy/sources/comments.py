@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from colloquy import schemas
 from colloquy.functions import text as T
@@ -13,9 +13,11 @@ from colloquy.functions import text as T
 
 def raw_comments(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON document per comment.  The schema is given, so nothing is
-    inferred and attributes outside the allow-list are never read."""
+    inferred and attributes outside the allow-list are never read.  A file that
+    is not whole JSON fails the read: it never becomes a row without an id."""
     return (
         spark.read.schema(schemas.RAW_COMMENT)
+        .option("mode", "FAILFAST")
         .option("multiLine", True)
         .option("pathGlobFilter", "*.json")
         .json(folder)
@@ -30,7 +32,7 @@ def _stem(suffix: str) -> Column:
 
 def text_meta(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        spark.read.schema(schemas.TEXT_META).option("multiLine", True)
+        spark.read.schema(schemas.TEXT_META).option("multiLine", True).option("mode", "FAILFAST")
         .option("pathGlobFilter", "*.meta.json").json(folder)
     )
 
@@ -52,8 +54,9 @@ def with_text(comments: DataFrame, texts: DataFrame, meta: DataFrame) -> DataFra
 
 
 def stage(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Stage records, one JSON document each."""
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    """Stage records, one JSON document each; a broken one fails the read."""
+    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
+    return reader.option("pathGlobFilter", "*.json").json(folder)
 
 
 def stage_rows(records: DataFrame) -> DataFrame:
@@ -72,9 +75,11 @@ def kept_attributes(raw: DataFrame, attributes: str = "attributes") -> DataFrame
 def attachment_rows(comments: DataFrame) -> DataFrame:
     """One row per attachment and file format with an address.
 
-    Input: ``comment_id`` and ``included``, an array of attachments whose
-    ``fileFormats`` hold ``format``, ``size`` and ``fileUrl``."""
-    items = comments.select("comment_id", F.posexplode("included").alias("item_no", "item")).select(
+    Input: ``comment_id`` and ``included``, an array of items of which those of
+    ``type`` "attachments" count; their ``fileFormats`` hold ``format``, ``size``
+    and ``fileUrl``."""
+    every = comments.select("comment_id", F.posexplode("included").alias("item_no", "item"))
+    items = every.filter("item.type = 'attachments'").select(
         "comment_id", "item_no", "item.id", "item.title", F.posexplode("item.fileFormats").alias("format_no", "f")
     )
     url = F.col("f.fileUrl")
@@ -89,11 +94,6 @@ def attachment_rows(comments: DataFrame) -> DataFrame:
     )
 
 
-_EXTRACTED = StructType([
-    StructField("status", StringType()), StructField("raw", StringType()), StructField("error", StringType()),
-])
-
-
 def decode_bytes(content: bytes | None) -> str:
     """UTF-8, else UTF-16, else Latin-1."""
     for encoding in ("utf-8", "utf-16"):
@@ -111,10 +111,17 @@ def _decode(content: pd.Series) -> pd.Series:
 
 def extract_text(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Text of plain-text files as ``status, text, error``; other formats are
-    reported as unsupported, empty text as an error.  Nothing is dropped."""
+    reported as unsupported, empty text as an error.  Nothing is dropped.
+
+    Valid UTF-8 is decoded natively; Python sees the bytes of other text files
+    only, and null for everything else."""
     extension = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
     supported = extension == ".txt"
-    text = F.when(supported, T.normalize(_decode(F.col(content)))).otherwise(F.lit(""))
+    as_utf8 = F.col(content).cast("string")
+    valid = F.coalesce(F.is_valid_utf8(as_utf8), F.lit(True))
+    other = _decode(F.when(supported & ~valid, F.col(content)))
+    raw = F.coalesce(F.when(valid, as_utf8).otherwise(other), F.lit(""))
+    text = F.when(supported, T.normalize(raw)).otherwise(F.lit(""))
     return files.withColumn("text", text).withColumns({
         "status": F.when(~supported, F.lit("unsupported")).when(F.col("text") == "", F.lit("error")).otherwise(F.lit("ok")),
         "error": F.when(~supported, F.concat(F.lit("unsupported format "), extension)).when(

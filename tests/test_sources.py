@@ -50,6 +50,19 @@ def test_landed_comments_text_and_stages(spark, folder):
     assert [(r.comment_id, r.segment_id, r.position) for r in rows] == [("C-1", "seg-001", "support")]
 
 
+def test_a_truncated_comment_fails_the_read(spark, folder):
+    write(folder, "C-1.json", b'{"regulations_gov_comment_id": "C-1", "attri')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        comments.raw_comments(spark, folder).collect()
+
+
+def test_only_attachments_are_listed(spark):
+    formats = "array(named_struct('format', 'pdf', 'size', 1L, 'fileUrl', 'u/f.pdf'))"
+    items = [f"named_struct('type', '{t}', 'id', '{t}', 'title', '', 'fileFormats', {formats})" for t in ("attachments", "users")]
+    given = spark.range(1).select(F.lit("C-1").alias("comment_id"), F.expr(f"array({', '.join(items)})").alias("included"))
+    assert [r.attachment_id for r in comments.attachment_rows(given).collect()] == ["attachments"]
+
+
 def test_attachments_are_decoded_or_reported(spark, folder):
     write(folder, "C-1/a.txt", "café".encode("utf-16"))
     write(folder, "C-1/b.TXT", "café!".encode("latin-1"))
