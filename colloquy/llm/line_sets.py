@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.shared import shared_folder
 from colloquy.session import cut_lineage
 
 CELLS = 1 << 14
@@ -52,22 +53,40 @@ def _tokens(line: Column, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words(line), token)))
 
 
+def _parity(tokens: Column) -> Column:
+    """64 bits, each the parity of the words that fall on it: two sets that differ
+    in ``d`` words differ in ``d`` bits at most."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(
+        F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    ))
+
+
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
     """Words two sets of sizes ``a`` and ``b`` must share."""
     return F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - 1e-9)
 
 
 def _could_match(x: str, y: str, threshold: float) -> Column:
-    """Length filter, and the positional filter at a shared word."""
+    """Length filter, the positional filter at a shared word, and the same bound
+    on how many words may differ held against the parities."""
     nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
     left = 1 + F.least(nx - F.col(f"{x}at"), ny - F.col(f"{y}at"))
     # Words before the shared one can agree too, as many as the earlier place allows.
     most = left + F.least(F.col(f"{x}at"), F.col(f"{y}at")) - 1
-    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (most >= _least_overlap(nx, ny, threshold))
+    overlap = _least_overlap(nx, ny, threshold)
+    differ = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
+    return (
+        (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (differ <= nx + ny - 2 * overlap) & (most >= overlap)
+    )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``x`` of the pairs ``(x, y)`` whose sets reach the threshold, where ``y`` starts earlier."""
+def _verified(pairs: DataFrame, lines: DataFrame, levels: Column, threshold: float) -> DataFrame:
+    """``x`` of the pairs ``(x, y)`` whose sets reach the threshold, where ``y``
+    starts earlier.  Sets are made of the lines in pairs alone."""
+    pairs = cut_lineage(pairs)
+    some = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
+    sets = cut_lineage(lines.join(some, "h", "left_semi").select("h", "first", _tokens(F.col("line"), levels).alias("tokens")))
     x = sets.select(F.col("h").alias("x"), F.col("tokens").alias("xs"), F.col("first").alias("xf"))
     y = sets.select(F.col("h").alias("y"), F.col("tokens").alias("ys"), F.col("first").alias("yf"))
     shared = F.size(F.array_intersect("xs", "ys"))
@@ -101,31 +120,35 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_i
     prefix = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
     index = (
         distinct.select("h", F.col("first.doc_id").alias("doc"), _tokens(F.col("line"), levels).alias("tokens"))
-        .select("h", "doc", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"))
+        .select("h", "doc", n.alias("n"), _parity(F.col("tokens")).alias("bits"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"))
     )
     group = Window.partitionBy("token")
-    member = F.struct("doc", "h", "n", "at")
-    met = cut_lineage(
-        index.withColumns({"size": F.count("*").over(group), "lead": F.min(member).over(group)}).filter("size > 1").drop("size")
-    )
-    some = met.select("h").distinct()
-    sets = cut_lineage(distinct.join(some, "h", "left_semi").select("h", "first", _tokens(F.col("line"), levels).alias("tokens")))
-    spark.sql(f"DROP TABLE {name}")
+    member = F.struct("doc", "h", "n", "at", "bits")
+    grouped = index.withColumns({
+        "size": F.count("*").over(group), "lead": F.min(member).over(group), "latest": F.max(F.struct("doc")).over(group),
+    }).filter("size > 1")
+    # A group of two is settled by its lead, unless both lines are of one document.
+    grouped = grouped.withColumn("open", (F.col("size") > 2) | F.col("latest.doc").eqNullSafe(F.col("lead.doc"))).drop("size", "latest")
+    folder = shared_folder(spark, "line-groups")
+    grouped.write.option("compression", "zstd").parquet(folder)
+    met = spark.read.schema(grouped.schema).parquet(folder)
 
     flat = met.select(
         "token", F.col("h").alias("x"), F.col("doc").alias("xdoc"), F.col("n").alias("xn"), F.col("at").alias("xat"),
-        F.col("lead.h").alias("y"), F.col("lead.n").alias("yn"), F.col("lead.at").alias("yat"),
+        F.col("bits").alias("xbits"), "open",
+        F.col("lead.h").alias("y"), F.col("lead.n").alias("yn"), F.col("lead.at").alias("yat"), F.col("lead.bits").alias("ybits"),
     )
     led = flat.filter((F.col("x") != F.col("y")) & _could_match("x", "y", threshold)).select("x", "y").distinct()
-    matched = cut_lineage(_verified(led, sets, threshold))
-    open_ = flat.drop("y", "yn", "yat").join(matched, "x", "left_anti")
-    other = met.select("token", F.col("h").alias("y"), F.col("doc").alias("ydoc"), F.col("n").alias("yn"), F.col("at").alias("yat"))
+    matched = cut_lineage(_verified(led, distinct, levels, threshold))
+    open_ = flat.filter("open").drop("open", "y", "yn", "yat", "ybits").join(matched, "x", "left_anti")
+    other = met.filter("open").select("token", F.col("h").alias("y"), F.col("doc").alias("ydoc"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("bits").alias("ybits"))
     rest = (
         open_.join(other, "token")
         .filter((F.col("x") != F.col("y")) & (F.coalesce(F.col("ydoc") <= F.col("xdoc"), F.col("ydoc").isNull())) & _could_match("x", "y", threshold))
         .select("x", "y").distinct()
     )
-    gone = cut_lineage(matched.unionByName(_verified(rest, sets, threshold)).select(F.col("x").alias("h")).distinct())
+    gone = cut_lineage(matched.unionByName(_verified(rest, distinct, levels, threshold)).select(F.col("x").alias("h")).distinct())
+    spark.sql(f"DROP TABLE {name}")
 
     # Equal lines: all but the first go; the first goes when another set matched it.
     firsts = cut_lineage(

@@ -388,6 +388,16 @@ def test_many_near_lines(spark):
     assert 0 < len(gone) < 150 and {k for k, r in got.items() if r.n_removed} == set(gone)
 
 
+def test_near_lines_within_one_document(spark):
+    """Whichever of two lines hashes lower, the later one goes."""
+    rows = []
+    for i in range(40):
+        line = [f"w{i}x{j}" for j in range(10)]
+        rows.append((i if i % 4 else None, " ".join(line) + "\n" + " ".join(["other", *line[1:]])))
+    got = line_sets.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 40 and all(r.removed_lines == "1" for r in got)
+
+
 def test_lines_of_no_rows_and_null_ids(spark, empty):
     assert line_sets.line_report(empty).count() == 0 and line_sets.drop_repeated_lines(empty).columns == empty.columns
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c\nd"), (1, "a b c\nd")], "doc_id long, text string")
