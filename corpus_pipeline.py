@@ -25,7 +25,8 @@ def _length(docs: DataFrame):
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_variants.keep_representatives(docs)
+    """Near copies share five-word shingles to 0.8 or more; ``op10_simhash`` has another rule."""
+    return simhash_variants.keep_dissimilar(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
