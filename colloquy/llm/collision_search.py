@@ -5,22 +5,31 @@ query opens a window around its own projection in every array and widens all
 of them step by step (virtual rehashing: nothing is hashed again).  Vectors
 that fall into the windows of enough projections are verified by the exact
 inner product.  Largest inner product becomes least distance by one added
-coordinate that gives every vector the same length.
+coordinate that gives every vector of a shard the same length.  A query stops
+when a vector better than its k-th verified one would, at that radius, have
+passed the collision threshold with the confidence asked for.
 
-Vectors are dealt to shards and queries to blocks of bounded size; each
-(shard, block) pair is one group, and only each query's best of a shard leaves
-it.
+Vectors are dealt to shards by norm band and queries to blocks, both of bounded
+size; each (shard, block) pair is one group, and only each query's best of a
+shard leaves it.
 """
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import cut_lineage
+
 SHARD_ROWS, BLOCK_ROWS = 16384, 1024
-PROJECTIONS, THRESHOLD, VERIFIED = 64, 0.6, 0.3
+PROJECTIONS, THRESHOLD = 64, 0.6
+#: Chance that a true neighbour is not verified; norm bands to a doubling.
+MISSED, NORM_BANDS = 0.05, 4
 FIRST_RADIUS, WIDENING = 0.8, 1.1
 SEED = 7
 
@@ -36,25 +45,40 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
 
 
+def _reach(projections: int, need: int, missed: float) -> float:
+    """Radius, in distances, at which a vector lies in under ``need`` windows
+    with chance ``missed`` at most: projections of a difference are normal with
+    its length as deviation, and the number of windows is binomial."""
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        short = sum(math.comb(projections, i) * p**i * (1 - p) ** (projections - i) for i in range(need))
+        low, high = (p, high) if short > missed else (low, p)
+    return NormalDist().inv_cdf(min((1 + high) / 2, 1 - 1e-15))
+
+
 class Index:
     """Sorted projections of one shard."""
 
-    def __init__(self, vectors: np.ndarray, length: float, projections: int):
-        self.vectors, self.length = vectors, length
+    def __init__(self, vectors: np.ndarray, projections: int):
+        self.vectors = vectors
+        square = (vectors**2).sum(axis=1)
+        self.length = float(np.sqrt(square.max()))
         rng = np.random.default_rng(SEED)
         self.axes = rng.standard_normal((projections, vectors.shape[1] + 1))
-        rest = np.sqrt(np.maximum(length**2 - (vectors**2).sum(axis=1), 0))
+        rest = np.sqrt(np.maximum(self.length**2 - square, 0))
         values = (np.column_stack([vectors, rest]) @ self.axes.T).T
         self.order = np.argsort(values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(values, self.order, axis=1)
 
-    def candidates(self, query: np.ndarray, k: int, threshold: float, verified: float) -> np.ndarray:
-        """Widen until the collision threshold holds for ``k`` vectors and the
-        share ``verified`` of the shard."""
-        n = len(self.vectors)
-        wanted, need = min(n, max(k + 1, int(np.ceil(verified * n)))), int(np.ceil(threshold * len(self.axes)))
-        at = self.axes[:, :-1] @ (query * (self.length / np.sqrt((query**2).sum())))
-        counts = np.zeros(n, np.int64)
+    def candidates(self, query: np.ndarray, others: np.ndarray, k: int, need: int, reach: float) -> np.ndarray:
+        """Widen until the radius is ``reach`` times the distance of the k-th
+        best verified of ``others``, or all vectors are verified."""
+        n, norm = len(self.vectors), np.sqrt((query**2).sum())
+        if n <= 4 * k or not np.isfinite(reach):
+            return np.arange(n)
+        at = self.axes[:, :-1] @ (query * (self.length / norm))
+        counts, scores, known = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, bool)
         low = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at)])
         high, radius = low.copy(), FIRST_RADIUS * self.length
         while True:
@@ -64,20 +88,33 @@ class Index:
                 added += [order[a : low[j]], order[high[j] : b]]
                 low[j], high[j] = a, b
             counts += np.bincount(np.concatenate(added), minlength=n)
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= wanted:
+            new = np.flatnonzero((counts >= need) & ~known)
+            known[new] = True
+            scores[new] = np.where(others[new], self.vectors[new] @ query, -np.inf)
+            found = np.flatnonzero(known)
+            if len(found) == n:
                 return found
-            radius *= WIDENING
+            wider = radius * WIDENING
+            if np.count_nonzero(others & known) >= k:
+                kth = np.partition(scores, n - k)[n - k]
+                far = reach * np.sqrt(max(2 * self.length**2 - 2 * self.length * kth / norm, 0))
+                if radius >= far:
+                    return found
+                wider = min(wider, far)
+            radius = wider
+
 
+def _search(k: int, projections: int, threshold: float, missed: float):
+    need = math.ceil(threshold * projections)
 
-def _search(k: int, length: float, projections: int, threshold: float, verified: float):
     def search(base: pa.Table, queries: pa.Table) -> pa.Table:
         out = ([], [], [])
         if base.num_rows and queries.num_rows:
+            reach = _reach(projections, need, missed) if missed > 0 else np.inf
             ids = base["vec_id"].to_numpy()
-            index = Index(_matrix(base["vector"]), length, projections)
+            index = Index(_matrix(base["vector"]), projections)
             for own, query in zip(queries["vec_id"].to_pylist(), _matrix(queries["vector"])):
-                at = index.candidates(query, k, threshold, verified)
+                at = index.candidates(query, ids != own, k, need, reach)
                 at = at[ids[at] != own]
                 scores = index.vectors[at] @ query
                 best = np.lexsort((ids[at], -scores))[:k]
@@ -94,7 +131,7 @@ def _search(k: int, length: float, projections: int, threshold: float, verified:
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
-    projections: int = PROJECTIONS, threshold: float = THRESHOLD, verified: float = VERIFIED,
+    projections: int = PROJECTIONS, threshold: float = THRESHOLD, missed: float = MISSED,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of largest inner
     product found for each query row, ties to the smaller id; all, if fewer.
@@ -103,20 +140,27 @@ def nearest(
     against every row with another id.  Rows without an id, and vectors that are
     null, empty, zero or hold null or non-finite components, take no part; vectors
     meet only those of their own dimension.  Of rows with one id and one vector
-    one is taken.  ``verified`` trades work for recall."""
+    one is taken.  A true neighbour is missed with chance ``missed`` at most; with
+    zero every vector is verified."""
     rows = vectors.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"), is_query.alias("asks")
     ).distinct()
     square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    facts = rows.agg(F.max(square), F.count("*"), F.count_if("asks")).first()
-    length, n, asked = float(np.sqrt(facts[0] or 0.0)), facts[1], facts[2]
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
-    deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    base = rows.select(F.size("vector").alias("d"), deal(shards, 1).alias("shard"), every(blocks).alias("part"), "vec_id", "vector")
-    queries = rows.filter("asks").select(F.size("vector").alias("d"), every(shards).alias("shard"), deal(blocks, 2).alias("part"), "vec_id", "vector")
-    found = base.groupBy("d", "shard", "part").cogroup(queries.groupBy("d", "shard", "part")).applyInArrow(
-        _search(k, length, projections, threshold, verified), "query_id long, vec_id long, score double"
+    band = F.coalesce(F.floor(F.least(F.log2(square), F.lit(1100.0)) * (NORM_BANDS / 2) + 0.5), F.lit(-9999)).cast("int")
+    rows = rows.select("*", F.size("vector").alias("d"), band.alias("band"))
+    sizes = cut_lineage(rows.groupBy("d", "band").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")))
+    asked = sizes.agg(F.sum("asked")).first()[0] or 0
+    blocks = max(1, -(-asked // BLOCK_ROWS))
+    deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
+    shards = sizes.select("d", "band", F.ceil(F.col("n") / SHARD_ROWS).alias("shards"))
+    keys = ["d", "band", "shard", "part"]
+    anew = [F.col(c).alias(c) for c in (*keys, "vec_id", "vector")]
+    base = rows.join(shards, ["d", "band"]).withColumn("shard", deal(F.col("shards"), 1)).withColumn("part", every(F.lit(blocks))).select(*anew)
+    groups = shards.select(F.col("d").alias("of"), F.col("band").alias("in"), every(F.col("shards")).alias("shard"))
+    queries = rows.filter("asks").select("d", deal(F.lit(blocks), 2).alias("part"), "vec_id", "vector").join(groups, F.col("d") == F.col("of")).withColumnRenamed("in", "band").select(*anew)
+    found = base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
+        _search(k, projections, threshold, missed), "query_id long, vec_id long, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

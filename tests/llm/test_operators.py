@@ -299,6 +299,29 @@ def test_neighbours_recall_and_order(spark, monkeypatch):
     assert collision_search.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_recall_of_any_norms(spark):
+    """One long vector, lognormal norms, many dimensions; each in its own dimension."""
+    rng = np.random.default_rng(5)
+    unit = lambda n, d: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.standard_normal((n, d)))
+    long, mixed, many = unit(1500, 40), unit(1500, 41) * rng.lognormal(0, 0.5, (1500, 1)), unit(1500, 384)
+    long[777] *= 10
+    held, rows = {}, []
+    for number, vectors in enumerate((long, mixed, many)):
+        held[number] = vectors.astype(np.float32).astype(float)
+        rows += [(2000 * number + i, [float(x) for x in v]) for i, v in enumerate(held[number])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in collision_search.nearest(df, F.col("vec_id") % 25 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    for number, vectors in held.items():
+        shares = []
+        for q in range(0, 1500, 25):
+            score = vectors @ vectors[q]
+            score[q] = -np.inf
+            shares.append(len(got[2000 * number + q] & {2000 * number + int(i) for i in np.argsort(-score)[:20]}) / 20)
+        assert np.mean(shares) >= 0.9, (number, np.mean(shares))
+
+
 # --- language model ---------------------------------------------------------
 
 def test_language_model(monkeypatch, docs, empty, texts):
