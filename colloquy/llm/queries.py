@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables."""
+"""The operators as queries over their whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
-    bpe_words, collision_search, decontaminate, interpolated_lm, line_sets, simhash_variants, substring_cover, token_files, toxicity, url_rules,
+    bpe_words, collision_search, decontaminate, hard_negatives, interpolated_lm, line_sets, quality_rules, simhash_variants, spelling_variants,
+    substring_cover, token_files, toxicity, url_rules,
 )
 from colloquy.llm.shared import shared_folder
 
@@ -104,3 +105,29 @@ def op9_token_files(spark, sf_dir):
 @query
 def op10_simhash(spark, sf_dir):
     return simhash_variants.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    counts = spelling_variants.count_words(read(spark, sf_dir, "documents"), slip=97)
+    return spelling_variants.variants(counts.filter("n >= 3"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_rules.Model:
+    """Learned only from documents outside the held-out quarter."""
+    return quality_rules.fit(docs.filter(remainder("doc_id", 4) != 2), labels)
+
+
+@query
+def op13_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = quality_model(docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    scored = quality_rules.scored(docs, model).select("doc_id", held_out, "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
