@@ -78,10 +78,11 @@ def limit_words(text: Column, max_words: int) -> Column:
     return vocab.once(F.struct(text.alias("given"), trimmed.alias("t"), _first_words(trimmed, max_words).alias("p")), limited)
 
 
-def passage_key(passage: Column) -> Column:
-    """Key under which two passages count as the same one."""
-    words = F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}_]+", " ")
-    return F.substring(F.trim(words), 1, 160)
+def passage_key(passage: Column, length: int | None = 160) -> Column:
+    """Key under which two passages count as the same one: the first ``length``
+    characters of their words, all of them with None."""
+    words = F.trim(F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}_]+", " "))
+    return words if length is None else F.substring(words, 1, length)
 
 
 def match_norm(text: Column) -> Column:
@@ -95,10 +96,17 @@ def slug(text: Column) -> Column:
     return F.substring(F.btrim(dashed, F.lit("-")), 1, 60)
 
 
+def composed(text: Column) -> Column:
+    """Canonical composed form (NFC), by the Unicode library Spark's collations
+    use; text in ASCII is that already and is not handed over."""
+    form = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"[^\x00-\x7F]"), form).otherwise(text)
+
+
 def full_slug(text: Column) -> Column:
-    """The slug without the length limit, letters of every script kept: the
-    identity key of an organization."""
-    dashed = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-")
+    """The slug without the length limit, letters and marks of every script kept,
+    in composed form: the identity key of an organization."""
+    dashed = F.regexp_replace(F.lower(composed(text)), r"[^\p{L}\p{M}\p{N}]+", "-")
     return F.btrim(dashed, F.lit("-"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schemas, vocab
 from colloquy.functions import text as T
+from colloquy.operators.skew import salted_join
 
 # Reason codes and the wording listed next to an excluded id.
 WITHDRAWN = "withdrawn"
@@ -72,13 +73,13 @@ def commenter_key() -> Column:
 
 def commenter_id() -> Column:
     """Id made from the key alone, so no lookup is needed.  Where the slug shown
-    loses something of the key (length, letters outside ASCII), a digest of the
-    key follows, so distinct keys keep distinct ids."""
+    loses something of the key (length, letters outside ASCII), 64 bits of a digest
+    of the key follow, so distinct keys keep distinct ids."""
     key = commenter_key()
     tail = F.lower(F.regexp_replace(key, "^(org|comment):", ""))
     shown = F.when(F.startswith(key, F.lit("org:")), T.slug(tail)).otherwise(F.substring(tail, 1, 60))
     short = F.concat(F.lit("c-"), shown)
-    return F.when(shown != tail, F.concat(short, F.lit("-"), F.substring(F.sha2(key, 256), 1, 8))).otherwise(short)
+    return F.when(shown != tail, F.concat(short, F.lit("-"), F.substring(F.sha2(key, 256), 1, 16))).otherwise(short)
 
 
 def commenters(accepted_rows: DataFrame) -> DataFrame:
@@ -167,10 +168,13 @@ def built_positions(positions: DataFrame) -> DataFrame:
     )
 
 
-def authored_submissions(subs: DataFrame, authors: DataFrame) -> DataFrame:
+def authored_submissions(subs: DataFrame, authors: DataFrame, heavy_share: float | None = None) -> DataFrame:
     """Submissions whose commenter exists, with the commenter's facts.  Built
-    once, before positions join, so the big side is shuffled a single time."""
-    return subs.select("submission_id", "commenter_id").join(authors, "commenter_id")
+    once, before positions join, so the big side is shuffled a single time.  With
+    ``heavy_share``, commenters with more than that share of all submissions are
+    spread over several tasks (``skew.salted_join``)."""
+    mine = subs.select("submission_id", "commenter_id")
+    return mine.join(authors, "commenter_id") if heavy_share is None else salted_join(mine, authors, "commenter_id", heavy_share)
 
 
 def linked_positions(positions: DataFrame, authored: DataFrame) -> DataFrame:

@@ -398,11 +398,15 @@ def consolidate(positions: DataFrame, members: DataFrame) -> DataFrame:
     }).drop("mask", "merged_tags")
 
 
-def consolidation_counts(found: DataFrame) -> DataFrame:
-    per_submission = found.groupBy("submission_id").agg(
+def consolidation_log(found: DataFrame) -> DataFrame:
+    """Clusters and merged positions of each submission that has any."""
+    return found.groupBy("submission_id").agg(
         F.count("*").alias("clusters"), F.sum("merged").alias("positions_merged")
     )
-    return per_submission.agg(
+
+
+def consolidation_counts(found: DataFrame) -> DataFrame:
+    return consolidation_log(found).agg(
         F.count("*").alias("submissions_affected"),
         F.coalesce(F.sum("clusters"), F.lit(0).cast("bigint")).alias("clusters"),
         F.coalesce(F.sum("positions_merged"), F.lit(0).cast("bigint")).alias("positions_merged"),

@@ -90,22 +90,28 @@ def position_facets_match(facets: Facets) -> Column:
     return match
 
 
-def searched_rows(positions: DataFrame, questions: DataFrame, facets: Facets, only_matching: bool = True) -> DataFrame:
+def _mask_of(questions: DataFrame, condition: Column) -> Column:
+    """The questions that meet a condition as a constant of 26 bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("question_number") - 1)
+    return questions.filter(condition).agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint"))).scalar()
+
+
+def searched_rows(positions: DataFrame, questions: DataFrame, facets: Facets, only_matching: bool = True, themed: bool = False) -> DataFrame:
     """(position, question) rows with ``shown``: does the row pass the facets?
 
     With ``only_matching`` the facet and term filters run before the questions
-    are exploded, so rows that cannot match never reach a shuffle."""
+    are exploded, so rows that cannot match never reach a shuffle; with
+    ``themed`` so does the theme: other questions are never exploded."""
     term = facets.term
     asked = questions.select("question_id", "question_number", "theme", "short_title", "tags", "has_tension_block")
     rows = positions
+    if themed and facets.theme:
+        rows = rows.withColumn("of_theme", _mask_of(asked, F.col("theme") == facets.theme))
+        rows = rows.filter(vocab.question_mask(F.col("question_ids")).bitwiseAND(F.col("of_theme")) != 0)
+        rows = rows.withColumn("question_ids", F.filter("question_ids", lambda q: F.getbit(F.col("of_theme"), vocab.question_number(q) - 1) == 1))
     if term:
-        # Which questions themselves carry the term: a constant of 26 bits.
-        hits = asked.filter(F.contains(question_haystack(), F.lit(term))).agg(
-            F.coalesce(
-                F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("question_number") - 1)),
-                F.lit(0).cast("bigint"),
-            )
-        ).scalar()
+        # Which questions themselves carry the term.
+        hits = _mask_of(asked, F.contains(question_haystack(), F.lit(term)))
         rows = rows.withColumn("in_text", F.contains("haystack", F.lit(term))).withColumn("hit_questions", hits)
     passes = position_facets_match(facets)
     if only_matching and facets.filtering:
@@ -147,7 +153,7 @@ def filtered_summary(rows: DataFrame) -> DataFrame:
 
 def view(positions: DataFrame, questions: DataFrame, facets: Facets) -> DataFrame:
     """The questions a view shows, with their counts before and after filters."""
-    rows = searched_rows(positions, questions, facets, only_matching=False)
+    rows = searched_rows(positions, questions, facets, only_matching=False, themed=True)
     per_commenter = rows.groupBy("question_id", "commenter_id", "stakeholder_type").agg(
         F.count("*").alias("all"), F.count_if("shown").alias("shown")
     )
@@ -244,19 +250,46 @@ def gap_lines(gaps: DataFrame) -> DataFrame:
     )
 
 
+def visibility(positions: DataFrame, questions: DataFrame, states: list[Facets], question_id: str) -> list[bool]:
+    """Under which of several facet states (62 at most) a question is shown, in one scan.
+
+    Each state is a bit; a position sets the bits of the states that show it, and
+    the bits are folded by commenter and then over the question.  Only positions
+    on the question are read further."""
+    if len(states) > 62:
+        raise ValueError("at most 62 states fit one scan")
+    asked = questions.filter(F.col("question_id") == question_id).select(
+        "theme", F.coalesce("has_tension_block", F.lit(False)).alias("block"), question_haystack().alias("haystack")).first()
+    if asked is None:
+        return [False] * len(states)
+    here = positions.filter(F.array_contains("question_ids", F.lit(question_id)))
+    bits = F.lit(0).cast("bigint")
+    for i, state in enumerate(states):
+        shows = position_facets_match(state)
+        if state.term and state.term not in asked.haystack:
+            shows = shows & F.contains("haystack", F.lit(state.term))
+        bits = bits.bitwiseOR(F.when(F.coalesce(shows, F.lit(False)), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    group = vocab.ordinal(vocab.STAKEHOLDER_TYPES, F.col("stakeholder_type"))
+    folded = here.withColumn("bits", bits).groupBy("commenter_id", "stakeholder_type").agg(F.bit_or("bits").alias("bits")).agg(
+        F.count("*").alias("voices"), F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), group.cast("int")))).alias("groups"),
+        F.coalesce(F.bit_or("bits"), F.lit(0).cast("bigint")).alias("bits"))
+    seen = folded.select("*", (F.lit(asked.block) & stats.tension_eligible(F.col("voices"), F.col("groups"))).alias("tension")).first()
+
+    def shown(i: int, state: Facets) -> bool:
+        return (state.theme in (None, asked.theme)) and (not state.filtering or bool(seen.bits >> i & 1)) and (state.view != "tensions" or bool(seen.tension))
+
+    return [shown(i, state) for i, state in enumerate(states)]
+
+
 def relax_for(positions: DataFrame, questions: DataFrame, facets: Facets, question_id: str) -> Facets:
     """The nearest facets under which a question is visible: leave a view it is
     not in, drop a theme it is not in, then clear the filters if need be."""
-    def visible(candidate):
-        one = view(positions, questions.filter(F.col("question_id") == question_id), candidate)
-        return not one.limit(1).isEmpty()
-
     asked = questions.filter(F.col("question_id") == question_id).select("theme").first()
     if asked is None:
         return facets
-    out = facets
-    if out.view == "missed" or (out.view == "tensions" and not visible(out)):
-        out = replace(out, view="questions")
-    if out.theme not in (None, asked.theme):
-        out = replace(out, theme=None)
-    return out if visible(out) else replace(out, stakeholder=None, stance=None, search="")
+    fitting = facets if facets.theme in (None, asked.theme) else replace(facets, theme=None)
+    stays = fitting if fitting.view != "missed" else replace(fitting, view="questions")
+    leaves = replace(fitting, view="questions")
+    as_given, kept, left = visibility(positions, questions, [facets, stays, leaves], question_id)
+    out, seen = (stays, kept) if facets.view == "questions" or (facets.view == "tensions" and as_given) else (leaves, left)
+    return out if seen else replace(out, stakeholder=None, stance=None, search="")

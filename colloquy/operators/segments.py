@@ -28,11 +28,6 @@ def chunk_plan(texts: DataFrame, size: int = vocab.CHUNK_CHARS,
     )
 
 
-def chunk_ordinals(found: DataFrame) -> DataFrame:
-    """Order passages by chunk and place within the chunk: one ordinal each."""
-    return found.withColumn("ord", F.col("chunk_index").cast("bigint") * 1_000_000 + F.col("at"))
-
-
 def substantive(found: DataFrame) -> DataFrame:
     """Drop background, passages without a valid question, and short ones.
     Adds ``mask``, the set of valid questions."""

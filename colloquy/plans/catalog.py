@@ -102,8 +102,9 @@ def positions_by_question(d):
 
 @docket_query
 def theme_lookup(d):
+    """The themes of all questions that a position is on."""
     labels = {t.id: t.label for t in vocab.THEMES}
-    return d.questions.select(
+    return d.questions.join(d.question_rows.select("question_id"), "question_id", "left_semi").select(
         "question_id", "theme", vocab.label(labels, F.col("theme")).alias("label"), "question_number"
     )
 

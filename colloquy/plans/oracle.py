@@ -196,7 +196,7 @@ _add("submissions_without_positions", "SELECT s.submission_id, s.regulations_gov
 _add("featured_positions", "SELECT position_id, length(source_passage) AS passage_chars FROM positions WHERE featured")
 _add("positions_by_question", "SELECT question_id, position_id, commenter_id, commenter, stakeholder_type, submission_id, "
      "response_type, stance, primary_issue, summary FROM qrows")
-_add("theme_lookup", "SELECT question_id, theme, label, q.question_number FROM questions q JOIN v_theme ON id = theme")
+_add("theme_lookup", "SELECT question_id, theme, label, q.question_number FROM questions q JOIN v_theme ON id = theme WHERE question_id IN (SELECT question_id FROM qrows)")
 _add("evidence_lookup", "SELECT position_id, commenter_id, display_name, stakeholder_type, "
      "received_date, regulations_gov_comment_id, source_url, source_passage AS supporting_text "
      "FROM linked JOIN subs USING (submission_id, commenter_id) "

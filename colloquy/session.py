@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +28,14 @@ def build_session(app_name: str = "colloquy", master: str | None = None, **setti
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which
-    survives the loss of executors.  Only where none is named (tests, a laptop)
-    is a folder of our own set.
-    """
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only where none
+    is named (tests, a laptop) is a folder of our own set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
@@ -43,4 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
             named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder, which survives the loss of
+    executors, and read it back."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

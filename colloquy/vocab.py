@@ -249,13 +249,3 @@ def questions_frame(spark: SparkSession) -> DataFrame:
     return spark.range(1, N_QUESTIONS + 1).selectExpr(
         "concat('q', id) AS question_id", "cast(id AS int) AS question_number", f"{sql_theme_of('id')} AS theme"
     )
-
-
-def vocabulary_frame(spark: SparkSession, vocabulary, name: str = "id") -> DataFrame:
-    """A vocabulary as a dimension table: ordinal, id, label."""
-    items = vocabulary.items() if isinstance(vocabulary, dict) else [(v, v) for v in vocabulary]
-    rows = [
-        (i, key, value if isinstance(value, str) else value[0])
-        for i, (key, value) in enumerate(items, start=1)
-    ]
-    return spark.createDataFrame(rows, f"ordinal int, {name} string, label string")

@@ -13,9 +13,8 @@ ROW = (
 )
 
 
-def row(pid, cid, kind="recommendation", group="device_manufacturer", issue="evidence_standards", q="q9",
-        stance="support_with_modification"):
-    return (q, pid, cid, cid.upper(), group, f"s-{cid}", kind, stance, issue, f"summary of {pid}")
+def row(pid, who, kind="implementation_issue", group="academic_research", issue="human_factors", q="q14", stance="mixed"):
+    return (q, pid, who, f"Team {who}", group, f"s-{who}", kind, stance, issue, f"{who} on {issue} in {pid}")
 
 
 def rows_of(spark, rows):
@@ -28,13 +27,15 @@ def questions_of(spark):
     })
 
 
-def test_three_positions_of_one_commenter_count_once(spark):
-    rows = rows_of(spark, [row(f"p{i}", "c1", q="q1") for i in range(3)])
-    got = {r.question_id: r for r in stats.question_stats(rows, questions_of(spark)).collect()}
-    first = got["q1"]
-    assert (first.distinct_commenters, first.distinct_submissions, first.positions) == (1, 1, 3)
-    assert not first.conclusion_eligible and not first.tension_eligible
-    assert len(got) == 26 and got["q26"].positions == 0 and got["q26"].stakeholder_mix == {}
+def test_an_author_counts_once_whatever_they_send(spark):
+    """Two submissions with four positions by one author, one by another."""
+    rows = [row(f"w{i}", "ada", q="q11") for i in range(4)] + [row("w9", "bo", group="investor_vc", q="q11")]
+    rows[3] = (*rows[3][:5], "s-ada-again", *rows[3][6:])
+    got = {r.question_id: r for r in stats.question_stats(rows_of(spark, rows), questions_of(spark)).collect()}
+    one = got["q11"]
+    assert (one.distinct_commenters, one.distinct_submissions, one.positions) == (2, 3, 5)
+    assert one.stakeholder_mix == {"academic_research": 1, "investor_vc": 1} and not one.conclusion_eligible and not one.tension_eligible
+    assert len(got) == 26 and got["q25"].positions == 0 and got["q25"].position_distribution == {}
 
 
 LINKED = (
@@ -43,35 +44,35 @@ LINKED = (
 )
 
 
-def test_small_docket_gives_three_cautious_cards(spark):
+def test_few_voices_give_three_cautious_cards(spark):
     linked = spark.createDataFrame([
-        ("p1", "s1", "c1", "Org A", "device_manufacturer", ["q7"], "support", ["evidence_burden_commercial_viability"], True, "one"),
-        ("p2", "s2", "c2", "Org B", "health_system_provider", ["q7", "q21"], "mixed", [], False, "two"),
+        ("w31", "s-ada", "ada", "Ada Labs", "academic_research", ["q20", "q3"], "oppose", ["cybersecurity_as_safety", "operational_harm"], False, "first"),
+        ("w32", "s-bo", "bo", "Bo Fund", "investor_vc", ["q20"], "mixed", ["cybersecurity_as_safety"], True, "second"),
+        ("w33", "s-cy", "cy", "Cy", "individual", ["q20"], "oppose", [], False, "third"),
     ], LINKED)
     rows = linked.select(F.explode("question_ids").alias("question_id"), "commenter_id", "stakeholder_type", "submission_id",
                          F.lit(None).cast("string").alias("response_type"), F.col("position").alias("stance"))
-    per_question = stats.question_stats(rows, questions_of(spark))
-    gaps = stats.gap_stats(linked, gap_dimension(spark))
-    cards = stats.signal_cards(questions_of(spark), per_question, gaps, stats.stance_totals(linked)).collect()
+    per_question, gaps, totals = stats.question_stats(rows, questions_of(spark)), stats.gap_stats(linked, gap_dimension(spark)), stats.stance_totals(linked)
+    cards = stats.signal_cards(questions_of(spark), per_question, gaps, totals).collect()
     assert [c.category for c in cards] == ["most_discussed", "pattern", "blind_spot"]
-    assert cards[1].headline == "Not enough comments yet" and cards[2].evidence == "Limited data · Q7"
-    curated = spark.createDataFrame(
-        [("deployment", "Deploy", "Head", "Detail", ["q7"], None, None)],
-        "category string, label string, headline string, detail string, question_ids array<string>, gap_id string, "
-        "target_question_id string",
-    )
-    cards = stats.signal_cards(questions_of(spark), per_question, gaps, stats.stance_totals(linked), curated).collect()
+    assert cards[1].headline == "Not enough comments yet" and cards[2].evidence.startswith("Limited data") and "Q20" in cards[2].evidence
+    schema = "category string, label string, headline string, detail string, question_ids array<string>, gap_id string, target_question_id string"
+    one = spark.createDataFrame([("deployment", "In use", "H", "D", ["q3", "q20"], None, None)], schema)
+    cards = stats.signal_cards(questions_of(spark), per_question, gaps, totals, one).collect()
     assert [c.category for c in cards] == ["most_discussed", "deployment", "blind_spot"]
-    assert cards[1].evidence == "Limited data · 2 commenters so far on Q7" and cards[1].target_question_id == "q7"
+    assert cards[1].target_question_id == "q3" and cards[1].evidence.startswith("Limited data")
+
+
+M = "support_with_modification"
 
 
 @pytest.mark.parametrize("per_question,totals,commenters,holds", [
-    ([{"support_with_modification": 20, "support": 2, "oppose": 1}, {"support_with_modification": 9, "oppose": 1}],
-     {"support_with_modification": 27, "support": 2, "oppose": 2}, 6, True),
-    ([{"support_with_modification": 20, "oppose": 1}, {"oppose": 6, "support_with_modification": 5}],
-     {"support_with_modification": 25, "oppose": 7}, 6, False),
-    ([{"support_with_modification": 12, "oppose": 3}], {"support_with_modification": 12, "oppose": 3}, 6, False),
-    ([{"support_with_modification": 3}], {"support_with_modification": 3}, 2, False),
+    ([{M: 8, "mixed": 7}, {M: 3, "support": 2, "unclear": 1}, {M: 31}], {M: 40, "mixed": 7, "support": 2, "oppose": 4}, 9, True),
+    ([{M: 8, "mixed": 8}, {M: 31}], {M: 38, "mixed": 8}, 9, False),            # a tie is no plurality
+    ([{M: 6, "support": 5}], {M: 6, "support": 6}, 5, False),                  # half is not more than half
+    ([{M: 18, "oppose": 1}], {M: 18, "oppose": 2}, 7, False),                  # a tenth is not rare
+    ([{M: 19, "oppose": 1}], {M: 19, "oppose": 2}, 7, True),
+    ([{M: 40}], {M: 40}, 4, False),                                            # too few commenters on every question
 ])
 def test_pattern(spark, per_question, totals, commenters, holds):
     df = spark.createDataFrame(
@@ -84,12 +85,12 @@ def test_pattern(spark, per_question, totals, commenters, holds):
 def test_cost_of_a_stage_and_unpriced_model(spark):
     usage = "stage string, model string, " + ", ".join(f"{c} bigint" for c in stats.USAGE) + ", elapsed_seconds double"
     metrics = spark.createDataFrame([
-        ("a", "m", 2, 2, 2_000_000, 200_000, 4_000_000, 0, 1.25), ("b", "other", 1, 0, 10, 10, 0, 0, 2.0),
+        ("read", "small", 3, 0, 750_000, 40_000, 500_000, 100_000, 3.5), ("guess", "unlisted", 1, 1, 9, 9, 9, 9, 0.5),
     ], usage)
-    prices = spark.createDataFrame([("m", 5.0, 25.0, 0.5, 6.25)], "model string, input double, output double, cache_read double, cache_write double")
+    prices = spark.createDataFrame([("small", 0.8, 4.0, 0.08, 1.0)], "model string, input double, output double, cache_read double, cache_write double")
     costs = {r.stage: r.estimated_cost_usd for r in stats.stage_costs(metrics, prices).collect()}
-    assert costs == {"a": 17.0, "b": None}
-    assert stats.run_totals(stats.stage_costs(metrics, prices)).first().estimated_cost_usd == 17.0
+    assert costs == {"read": 0.9, "guess": None}  # 0.6 + 0.16 + 0.04 + 0.1
+    assert stats.run_totals(stats.stage_costs(metrics, prices)).first().estimated_cost_usd == 0.9
 
 
 IDENTITY = "comment_id string, organization string, display_name string, stakeholder_type string"
@@ -110,6 +111,15 @@ def test_commenters_merge_by_organization_only(spark):
     assert names["c-acme-inc"] == "ACME inc" and names["c-c-5"] == "Individual commenter"
 
 
+def test_organizations_of_any_script_stay_apart(spark):
+    """Marks tell names apart; composed and decomposed spellings are one name."""
+    names = ["कमल", "कमला", "कमली", "Société Générale", "Socie\u0301te\u0301 Ge\u0301ne\u0301rale", "東京大学", "東京大学院", "Ĺ", "L\u0301", "L"]
+    df = spark.createDataFrame([(f"C-{i}", n, "", "other") for i, n in enumerate(names)], IDENTITY)
+    ids = [r.id for r in df.select("comment_id", assemble.commenter_id().alias("id")).orderBy("comment_id").collect()]
+    assert ids[3] == ids[4] and ids[7] == ids[8] and len(set(ids)) == 8
+    assert all(len(i.rsplit("-", 1)[1]) == 16 for n, i in zip(names, ids) if not n.isascii())
+
+
 def test_question_sets_keep_numeric_order(spark):
     df = spark.createDataFrame([(["q26", "q3", "q3", "q99", "x"],)], "q array<string>")
     assert df.select(vocab.mask_questions(vocab.question_mask(F.col("q"))).alias("q")).first().q == ["q3", "q26"]
@@ -159,38 +169,42 @@ def test_freshness_needs_all_versions(spark):
 
 # --- changes ----------------------------------------------------------------
 
-def state(spark, saying="Commenters ask for tiers.", exists=False, about=("thresholds",), status="generated"):
+def state(spark, saying="Speakers want staged rules.", exists=False, about=("definitions",), status="generated", kind="implementation_issue", divide=False):
     return spark.createDataFrame(
-        [("q8", "recommendation", exists, list(about), False, saying, status)],
+        [("q19", kind, exists, list(about), divide, saying, status)],
         "question_id string, dominant_response_type string, disagreement_exists boolean, disagreement_about array<string>, "
         "stakeholder_divide_exists boolean, saying string, synthesis_status string",
     )
 
 
 def reasons(spark, prior, new):
-    got = changes.compare_snapshots(prior, new).filter("question_id = 'q8'").first()
+    got = changes.compare_snapshots(prior, new).filter("question_id = 'q19'").first()
     return [r.reason for r in got.reasons]
 
 
 def test_only_material_changes_are_queued(spark):
-    base = [row("p1", "c1", q="q8"), row("p2", "c2", "concern", q="q8")]
+    base = [row("w1", "ada", q="q19"), row("w2", "bo", "evidence_suggestion", q="q19"), row("w3", "cy", issue="benchmarking", q="q19")]
     asked = questions_of(spark)
 
-    def snap(extra=(), synthesis=None):
-        return changes.snapshot(rows_of(spark, base + list(extra)), asked, synthesis)
+    def snap(extra=(), synthesis=None, less=0):
+        return changes.snapshot(rows_of(spark, base[less:] + list(extra)), asked, synthesis)
 
     prior = snap(synthesis=state(spark))
-    assert reasons(spark, prior, snap([row("p3", "c3", q="q8")], state(spark))) == []
-    fresh = snap([row("p4", "c9", "scope_challenge", "patient_consumer_group", "intended_use", q="q8")],
-                 state(spark, "Everyone now challenges the whole scope, wanting the agency to start over."))
+    # More of the same, or less of it, is not material.
+    assert reasons(spark, prior, snap([row("w4", "di", q="q19"), row("w5", "di", "evidence_suggestion", q="q19")], state(spark))) == []
+    assert reasons(spark, prior, snap(less=1, synthesis=state(spark))) == []
+    fresh = snap([row("w6", "ed", "concern", "trade_association", q="q19")], state(spark, "Nobody sees any need to move; the present text is enough for all."))
     assert reasons(spark, prior, fresh) == ["new_stakeholder_group", "new_substantive_position", "synthesis_changed"]
-    flipped = snap(synthesis=state(spark, exists=True, about=["ownership"], status="stale"))
-    assert reasons(spark, prior, flipped) == ["disagreement_emerged", "synthesis_stale"]
-    assert reasons(spark, snap(), snap(synthesis=state(spark, exists=True))) == []
+    many = snap([row(f"x{i}", f"z{i}", issue="benchmarking", q="q19") for i in range(4)], state(spark, kind="concern", divide=True))
+    assert reasons(spark, prior, many) == ["dominant_response_type_changed", "stakeholder_divide_changed", "issue_crossed_threshold"]
+    split = snap(synthesis=state(spark, exists=True, about=["timing"], status="stale"))
+    assert reasons(spark, prior, split) == ["disagreement_emerged", "synthesis_stale"] and reasons(spark, split, prior) == ["disagreement_resolved"]
+    assert reasons(spark, snap(), split) == []
     queue = changes.review_queue(prior, fresh).collect()
-    assert [(q.question_id, q.prior_distinct_commenters, q.new_distinct_commenters) for q in queue] == [("q8", 2, 3)]
-    untyped = changes.snapshot(rows_of(spark, [row("p1", "c1", None, q="q8")]), asked, state(spark))
-    assert reasons(spark, untyped, snap(synthesis=state(spark))) == []
+    assert [(q.question_id, q.prior_distinct_commenters, q.new_distinct_commenters) for q in queue] == [("q19", 3, 4)]
+    untyped = changes.snapshot(rows_of(spark, [row("w1", "ada", None, q="q19")]), asked, state(spark))
+    typed = changes.snapshot(rows_of(spark, [row("w1", "ada", "concern", q="q19")]), asked, state(spark))
+    assert reasons(spark, untyped, typed) == []
 
 
 # --- guards -----------------------------------------------------------------
@@ -199,37 +213,42 @@ CLAIM = (
     "disagreement struct<exists:boolean,about:array<string>,text:string,sides:array<struct<summary:string,position_ids:array<string>>>>, "
     "stakeholder_divide struct<claimed:boolean,groups:array<string>,text:string>, evidence_position_ids array<string>"
 )
-ROWS = [
-    row("p1", "c1"), row("p2", "c2", "concern"), row("p3", "c3", "proposed_criterion", "health_system_provider"),
-    row("p4", "c4", group="health_system_provider"), row("p5", "c1", "concern"),
+# Two patient groups, two insurers' investors and a lone engineer; "gil" speaks twice.
+VOICES = [
+    row("v01", "gil", "concern", "patient_consumer_group"), row("v02", "hana", "evidence_suggestion", "patient_consumer_group"),
+    row("v03", "ivo", "no_clear_answer", "investor_vc"), row("v04", "jun", "concern", "investor_vc"),
+    row("v05", "gil", "implementation_issue", "patient_consumer_group"), row("v06", "kay", "concern", "individual"),
 ]
-MORE = [row("p6", "c5", group="health_system_provider"), row("p7", "c6", group="health_system_provider"), row("p8", "c7"), row("p9", "c8")]
+CHORUS = [row("v07", "lu", group="investor_vc"), row("v08", "mo", group="patient_consumer_group")]
 
 
-def guarded(spark, sides, rows, evidence=("p1", "p-bogus"), saying="Most commenters ask for tiers."):
-    claim = ("q9", saying, "recommendation",
-             (True, ["thresholds"], "They split on thresholds.", [(n, list(ids)) for n, ids in sides]),
-             (True, ["device_manufacturer", "health_system_provider"], "Makers and systems."), list(evidence))
+def guarded(spark, sides, rows, evidence=(), saying="Timing worries many.", groups=("patient_consumer_group", "investor_vc")):
+    claim = ("q14", saying, "concern", (True, ["timing", "no-topic"], "Views part on timing.", [(f"side {i}", list(ids)) for i, ids in enumerate(sides)]),
+             (True, list(groups), "Patients and investors."), list(evidence))
     return guards.guard(spark.createDataFrame([claim], CLAIM), rows_of(spark, rows)).first()
 
 
-def test_one_commenter_on_both_sides_is_no_disagreement(spark):
-    out = guarded(spark, [("a", ["p1"]), ("b", ["p5"])], ROWS)
-    assert not out.disagreement.exists and out.disagreement.sides == []
-    assert out.disagreement.text.startswith("No material disagreement")
+def test_sides_held_by_one_voice_do_not_disagree(spark):
+    """The second side's only voice is also on the first."""
+    out = guarded(spark, [["v02", "v05"], ["v01"]], VOICES, evidence=["nowhere", "v03"])
+    assert not out.disagreement.exists and not out.disagreement.sides and out.disagreement.text.startswith("No material disagreement")
     assert not out.stakeholder_divide.exists and out.stakeholder_divide.note
-    assert "p-bogus" not in out.evidence_position_ids and len(out.evidence_position_ids) >= 3
-    assert out.response_type_distribution.by_distinct_commenters == {"recommendation": 2, "concern": 2, "proposed_criterion": 1}
     assert out.downgrades == ["disagreement_unsupported", "stakeholder_divide_unsupported", "evidence_filled"]
+    # What is filled in prefers positions that answer, in id order; unknown ids are gone.
+    assert out.evidence_position_ids == ["v03", "v01", "v02"]
+    assert out.response_type_distribution.by_distinct_commenters == {"evidence_suggestion": 1, "concern": 3, "implementation_issue": 1, "no_clear_answer": 1}
 
 
-def test_divide_needs_two_commenters_on_each_side(spark):
-    out = guarded(spark, [("a", ["p1", "p2"]), ("b", ["p3"])], ROWS + MORE)
-    assert out.disagreement.exists and not out.stakeholder_divide.exists
-    assert {"p1", "p3"} <= set(out.evidence_position_ids)
-    out = guarded(spark, [("a", ["p1", "p2"]), ("b", ["p3", "p6"])], ROWS + MORE, saying=" ".join(["Sentence one has words."] * 20))
-    assert out.stakeholder_divide.exists and out.stakeholder_divide.groups == ["device_manufacturer", "health_system_provider"]
-    assert len(out.saying.split()) <= 60 and "saying_cut_at_sentence" in out.quality_flags
+def test_a_divide_needs_numbers_on_both_sides(spark):
+    few = guarded(spark, [["v01", "v02"], ["v03"]], VOICES + CHORUS, evidence=["v06", "v02", "v08"])
+    assert few.disagreement.exists and few.disagreement.about == ["timing"] and not few.stakeholder_divide.exists
+    assert few.evidence_position_ids == ["v06", "v02", "v08", "v03"]
+    both = guarded(spark, [["v05", "v02"], ["v03", "v07", "lost"]], VOICES + CHORUS, saying="Four short words here. " * 17)
+    assert both.stakeholder_divide.exists and both.stakeholder_divide.groups == ["patient_consumer_group", "investor_vc"]
+    assert [s.position_ids for s in both.disagreement.sides] == [["v05", "v02"], ["v03", "v07"]]
+    assert len(both.saying.split()) == 60 and both.quality_flags == ["saying_cut_at_sentence"]
+    apart = guarded(spark, [["v05", "v02"], ["v03", "v07"]], VOICES + CHORUS, groups=("patient_consumer_group", "individual"))
+    assert apart.disagreement.exists and not apart.stakeholder_divide.exists
 
 
 def test_one_sided_evidence_still_covers_the_other_side():
@@ -246,10 +265,13 @@ def test_fingerprint_ignores_order_and_sees_every_change(spark):
     def of(rows, asked=questions_of(spark)):
         return guards.input_fingerprint(rows_of(spark, rows), asked).first().input_hash
 
-    assert of(ROWS) == of(ROWS[::-1])
-    assert of(ROWS) != of(ROWS[:-1]) and of(ROWS) != of(ROWS[:-1] + [row("p5", "c1", None)])
+    whole = of(VOICES)
+    assert whole == of(VOICES[::-1]) and whole != of(VOICES[:-1])
+    assert whole != of(VOICES[:-1] + [row("v06", "kay", None, "individual")])
+    # The last voice merged into another commenter: the same words, another hash.
+    assert whole != of(VOICES[:-1] + [(*VOICES[-1][:2], "jun", *VOICES[-1][3:])])
     reworded = questions_of(spark).withColumn("short_title", F.concat("short_title", F.lit("?")))
-    assert of(ROWS) != of(ROWS, reworded)
+    assert whole != of(VOICES, reworded)
 
 
 # --- comparison, search, rules ----------------------------------------------
