@@ -7,7 +7,8 @@ that fall into the windows of enough projections are verified by the exact
 inner product.  Largest inner product becomes least distance by one added
 coordinate that gives every vector of a shard the same length.  A query stops
 when a vector better than its k-th verified one would, at that radius, have
-passed the collision threshold with the confidence asked for.
+passed the collision threshold with the confidence asked for.  Shards of few
+vectors (four times k) are verified whole.
 
 Vectors are dealt to shards by norm band and queries to blocks, both of bounded
 size; each (shard, block) pair is one group, and only each query's best of a
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 
 from colloquy.session import cut_lineage
 
-SHARD_ROWS, BLOCK_ROWS = 16384, 1024
-PROJECTIONS, THRESHOLD = 64, 0.6
-#: Chance that a true neighbour is not verified; norm bands to a doubling.
-MISSED, NORM_BANDS = 0.05, 4
-FIRST_RADIUS, WIDENING = 0.8, 1.1
+#: Rows of a shard, queries of a block, and of those how many share their windows' ends.
+SHARD_ROWS, BLOCK_ROWS, SLICE = 16384, 8192, 256
+PROJECTIONS, THRESHOLD = 64, 0.9
+#: Chance that the k-th true neighbour is not verified (nearer ones are missed less); norm bands to a doubling.
+MISSED, NORM_BANDS = 0.15, 4
+FIRST_RADIUS, WIDENING = 0.5, 1.06
 SEED = 7
 
 
@@ -58,50 +60,78 @@ def _reach(projections: int, need: int, missed: float) -> float:
 
 
 class Index:
-    """Sorted projections of one shard."""
+    """Sorted projections of one shard.  Vectors are scaled by their largest
+    component, so their lengths are finite whatever they hold."""
 
     def __init__(self, vectors: np.ndarray, projections: int):
         self.vectors = vectors
-        square = (vectors**2).sum(axis=1)
+        self.unit = vectors / np.abs(vectors).max()
+        square = (self.unit**2).sum(axis=1)
         self.length = float(np.sqrt(square.max()))
         rng = np.random.default_rng(SEED)
         self.axes = rng.standard_normal((projections, vectors.shape[1] + 1))
         rest = np.sqrt(np.maximum(self.length**2 - square, 0))
-        values = (np.column_stack([vectors, rest]) @ self.axes.T).T
+        values = (np.column_stack([self.unit, rest]) @ self.axes.T).T
         self.order = np.argsort(values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(values, self.order, axis=1)
-
-    def candidates(self, query: np.ndarray, others: np.ndarray, k: int, need: int, reach: float) -> np.ndarray:
-        """Widen until the radius is ``reach`` times the distance of the k-th
-        best verified of ``others``, or all vectors are verified."""
-        n, norm = len(self.vectors), np.sqrt((query**2).sum())
+        self.start = 0
+
+    def radius(self, level: int) -> float:
+        return FIRST_RADIUS * WIDENING**level * self.length
+
+    def windows(self, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the windows of many queries (columns of ``at``) in every array."""
+        r = self.radius(level)
+        low = [np.searchsorted(s, own - r) for s, own in zip(self.sorted, at)]
+        high = [np.searchsorted(s, own + r, "right") for s, own in zip(self.sorted, at)]
+        return np.array(low), np.array(high)
+
+    def candidates(self, queries: np.ndarray, others: np.ndarray, k: int, need: int, reach: float):
+        """For each query, the rows in the windows of at least ``need``
+        projections when its radius is ``reach`` times the distance of the k-th
+        best verified of its ``others`` (one row of flags a query), or all.
+
+        A window takes most of an array before it holds the neighbours often
+        enough to tell them apart, so what is counted are the projections whose
+        window does *not* hold a row: ``len(axes) - need`` of them at most."""
+        n, most = len(self.vectors), len(self.axes) - need
         if n <= 4 * k or not np.isfinite(reach):
-            return np.arange(n)
-        at = self.axes[:, :-1] @ (query * (self.length / norm))
-        counts, scores, known = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, bool)
-        low = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at)])
-        high, radius = low.copy(), FIRST_RADIUS * self.length
-        while True:
-            added = []
-            for j, (order, values) in enumerate(zip(self.order, self.sorted)):
-                a, b = values.searchsorted((at[j] - radius, at[j] + radius))
-                added += [order[a : low[j]], order[high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(added), minlength=n)
-            new = np.flatnonzero((counts >= need) & ~known)
-            known[new] = True
-            scores[new] = np.where(others[new], self.vectors[new] @ query, -np.inf)
-            found = np.flatnonzero(known)
-            if len(found) == n:
-                return found
-            wider = radius * WIDENING
-            if np.count_nonzero(others & known) >= k:
-                kth = np.partition(scores, n - k)[n - k]
-                far = reach * np.sqrt(max(2 * self.length**2 - 2 * self.length * kth / norm, 0))
-                if radius >= far:
-                    return found
-                wider = min(wider, far)
-            radius = wider
+            yield from (np.arange(n) for _ in queries)
+            return
+        direction = queries / np.abs(queries).max(axis=1, keepdims=True)
+        direction /= np.sqrt((direction**2).sum(axis=1, keepdims=True))
+        at = self.axes[:, :-1] @ (direction * self.length).T
+        # One product for the rows that any of these queries may verify, which are nearly all.
+        exact = direction @ self.unit.T
+        exact[~others] = -np.inf
+        ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        stopped: list[int] = []
+        for q in range(len(queries)):
+            # Later queries start near where earlier ones stopped.
+            level = max(0, int(np.quantile(stopped, 0.2)) - 1) if stopped else self.start
+            misses, old = None, None
+            while True:
+                if level not in ends:
+                    ends[level] = self.windows(at, level)
+                low, high = ends[level][0][:, q].tolist(), ends[level][1][:, q].tolist()
+                if misses is None:
+                    outside = [o[:a] for o, a in zip(self.order, low)] + [o[b:] for o, b in zip(self.order, high)]
+                    misses = np.bincount(np.concatenate(outside), minlength=n)
+                else:
+                    newly = [o[a:b] for o, a, b in zip(self.order, low, old[0])] + [o[a:b] for o, a, b in zip(self.order, old[1], high)]
+                    misses -= np.bincount(np.concatenate(newly), minlength=n)
+                old = low, high
+                found = np.flatnonzero(misses <= most)
+                if len(found) == n:
+                    break
+                if len(found) >= k:
+                    kth = np.partition(exact[q][found], len(found) - k)[len(found) - k]
+                    if kth > -np.inf and self.radius(level) >= reach * np.sqrt(max(2 * self.length**2 - 2 * self.length * kth, 0)):
+                        break
+                level += 1
+            stopped.append(level)
+            self.start = level
+            yield found
 
 
 def _search(k: int, projections: int, threshold: float, missed: float):
@@ -111,15 +141,17 @@ def _search(k: int, projections: int, threshold: float, missed: float):
         out = ([], [], [])
         if base.num_rows and queries.num_rows:
             reach = _reach(projections, need, missed) if missed > 0 else np.inf
-            ids = base["vec_id"].to_numpy()
-            index = Index(_matrix(base["vector"]), projections)
-            for own, query in zip(queries["vec_id"].to_pylist(), _matrix(queries["vector"])):
-                at = index.candidates(query, ids != own, k, need, reach)
-                at = at[ids[at] != own]
-                scores = index.vectors[at] @ query
-                best = np.lexsort((ids[at], -scores))[:k]
-                for held, values in zip(out, (np.full(len(best), own), ids[at][best], scores[best])):
-                    held.append(values)
+            ids, own = base["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            index, asked = Index(_matrix(base["vector"]), projections), _matrix(queries["vector"])
+            for s in range(0, len(own), SLICE):
+                others = ids[None] != own[s : s + SLICE, None]
+                for q, at in enumerate(index.candidates(asked[s : s + SLICE], others, k, need, reach), s):
+                    at = at[ids[at] != own[q]]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        scores = index.vectors[at] @ asked[q]
+                    best = np.lexsort((ids[at], np.where(np.isnan(scores), np.inf, -scores)))[:k]
+                    for held, values in zip(out, (np.full(len(best), own[q]), ids[at][best], scores[best])):
+                        held.append(values)
         return pa.table({
             "query_id": pa.array(np.concatenate(out[0] or [np.zeros(0, np.int64)])),
             "vec_id": pa.array(np.concatenate(out[1] or [np.zeros(0, np.int64)])),
@@ -140,8 +172,9 @@ def nearest(
     against every row with another id.  Rows without an id, and vectors that are
     null, empty, zero or hold null or non-finite components, take no part; vectors
     meet only those of their own dimension.  Of rows with one id and one vector
-    one is taken.  A true neighbour is missed with chance ``missed`` at most; with
-    zero every vector is verified."""
+    one is taken.  The k-th true neighbour is missed with chance ``missed`` at
+    most; with zero every vector is verified.  Where an inner product overflows
+    the score is infinite; one without a value (infinities that cancel) comes last."""
     rows = vectors.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"), is_query.alias("asks")
     ).distinct()
@@ -162,5 +195,5 @@ def nearest(
     found = base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
         _search(k, projections, threshold, missed), "query_id long, vec_id long, score double"
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
