@@ -5,14 +5,21 @@ under one extra penalty: in each labelled text that names a group, the group's
 term is swapped for another of its kind, and the squared change of the score
 is paid for.  A neutral mention then cannot raise the score by itself.
 
-The model is fitted on a bounded sample of labelled rows (``max_rows``,
-``max_features``); scoring runs over every whole text.
+Where labelled texts name no group there is nothing to swap.  A stated share of
+those texts (``mention_share``, by a hash of the text, whatever its label) is
+therefore learned from twice more, with a mention put in: once each member of a
+swap, under the text's own label, and the pair of them pays for its difference.
+
+The model is fitted on a bounded sample of labelled rows (``max_rows``) and has
+``max_features`` learned features at most, besides those of the group terms;
+other words weigh nothing.  Scoring runs over every whole text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,13 +28,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms that name groups, by kind; parameters may replace them.
+#: Terms that name groups, by kind and language (English, French, German, Spanish); parameters may replace them.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "african", "latino"), ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("disabled", "blind", "deaf"), ("immigrants", "refugees", "foreigners", "citizens"), ("old", "young", "elderly"),
+    ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains"), ("gays", "lesbiennes", "bisexuels"), ("aveugles", "sourds", "handicapés"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"), ("vieux", "jeunes", "âgés"),
+    ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner"), ("schwule", "lesben", "bisexuelle"), ("blinde", "gehörlose", "behinderte"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"), ("alte", "junge"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos"), ("homosexuales", "lesbianas", "bisexuales"), ("ciegos", "sordos", "discapacitados"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"), ("viejos", "jóvenes", "ancianos"),
 )
 _WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (4, 5, 6)
@@ -52,10 +68,23 @@ def _swaps(groups) -> dict[str, str]:
     return {term: group[(i + 1) % len(group)] for group in groups for i, term in enumerate(group)}
 
 
+def mention(text: str | None, groups, share: float) -> tuple[str, str] | None:
+    """The two terms to put into a text that names no group: for about
+    ``share`` of all texts, chosen by a hash of the text alone."""
+    h = zlib.crc32((text or "").encode())
+    if not groups or h % 10_000 >= share * 10_000:
+        return None
+    group = groups[(h // 10_000) % len(groups)]
+    at = (h // 7_919) % len(group)
+    return group[at], group[(at + 1) % len(group)]
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     bias: float  # minus infinity: nothing was learned, every score is 0
+    swapped: int = 0  # labelled texts in which a term of their own was swapped
+    mentioned: int = 0  # labelled texts into which both members of a swap were put
 
     def score(self, text: str | None) -> float:
         if self.bias == -math.inf:
@@ -76,7 +105,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
 
 def fit(
     docs: DataFrame, labels: DataFrame, identity_terms=IDENTITY_TERMS, penalty: float = 1.0, l2: float = 1e-3,
-    max_rows: int = 20_000, max_features: int = 4096, min_rows: int = 5, rounds: int = 200,
+    max_rows: int = 20_000, max_features: int = 4096, min_rows: int = 5, rounds: int = 200, mention_share: float = 0.25,
     doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` marks 0 or 1 (a document
@@ -104,7 +133,9 @@ def fit(
         .select("f", (F.abs(odds) * F.sqrt(F.col("n0") + F.col("n1"))).alias("gain"))
         .orderBy(F.desc("gain"), "f").limit(max_features)
     )
-    names = sorted(r.f for r in chosen.collect())  # at most max_features
+    groups = tuple(tuple(group) for group in identity_terms if len(group) > 1)
+    terms = {f for group in groups for term in group for f in features_of(term)} if mention_share else set()
+    names = sorted({r.f for r in chosen.collect()} | terms)  # at most max_features and those of the terms
     place = {f: i for i, f in enumerate(names)}
 
     def project(parts):
@@ -112,17 +143,24 @@ def fit(
             return sorted({place[f] for w in words for f in features_of(w) if f in place})
 
         for part in parts:
-            words = [words_of(t) for t in part["text"]]
-            other = [swapped(w, swap) for w in words]
-            yield pd.DataFrame({"y": part["y"], "x": [at(w) for w in words], "z": [None if o is None else at(o) for o in other]})
-
-    data = rows.mapInPandas(project, "y int, x array<int>, z array<int>").collect()  # about max_rows
-    data.sort(key=lambda r: (r.y, r.x, r.z or []))
+            rows = []
+            for text, y in zip(part["text"], part["y"]):
+                words = words_of(text)
+                other = swapped(words, swap)
+                rows.append((y, at(words), None if other is None else at(other), False))
+                if other is None and (both := mention(text, groups, mention_share)):
+                    one, two = at(words | {both[0]}), at(words | {both[1]})
+                    rows += [(y, one, two, True), (y, two, None, True)]
+            yield pd.DataFrame(rows, columns=["y", "x", "z", "put"])
+
+    data = rows.mapInPandas(project, "y int, x array<int>, z array<int>, put boolean").collect()  # about max_rows, and twice their share
+    data.sort(key=lambda r: (r.y, r.x, r.z or [], r.put))
     weights, bias = descend(
         len(names), [r.x for r in data], np.array([r.y for r in data], float),
         [(i, r.z) for i, r in enumerate(data) if r.z is not None], share, penalty, l2, rounds,
     )
-    return Model({f: float(w) for f, w in zip(names, weights) if w}, float(bias))
+    pairs = [r.put for r in data if r.z is not None]
+    return Model({f: float(w) for f, w in zip(names, weights) if w}, float(bias), pairs.count(False), pairs.count(True))
 
 
 def descend(n: int, rows: list[list[int]], y: np.ndarray, pairs, bias: float, penalty: float, l2: float, rounds: int):
