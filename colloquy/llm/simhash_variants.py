@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.shared import fresh_name
 from colloquy.operators.components import connected_components
 from colloquy.session import cut_lineage
 
@@ -120,14 +121,25 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """``docs`` with one row of each component: the smallest id, then the
     smallest hash of the text; all columns unchanged.  Of rows alike in id and
     text one stays."""
-    members = _members(_marked(docs, doc_id, text, shingle))
-    firsts = members.select("first").distinct().select(
-        F.col("first.no_id").alias("__no"), F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.tie").alias("__tie")
-    )
+    return _keep_first(docs, _members(_marked(docs, doc_id, text, shingle)), doc_id, text)
+
+
+def _keep_first(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that are ``first`` of a component, each once."""
+    keys = [fresh_name(docs.columns, name) for name in ROW_KEYS]
+    first = [F.col("first.no_id"), F.coalesce("first.doc_id", F.lit(0)), F.col("first.tie")]
+    firsts = members.select("first").distinct().select(*[c.alias(k) for c, k in zip(first, keys)])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*own, *[c.alias(k) for c, k in zip(_row_keys(doc_id, text), keys)])
+    return keyed.join(firsts, keys, "left_semi").dropDuplicates(keys).select(*own)
+
+
+ROW_KEYS = ("no_id", "id", "tie")
+
+
+def _row_keys(doc_id: str, text: str) -> list[Column]:
     own = F.col(f"`{doc_id}`").cast("long")
-    keyed = docs.select("*", own.isNull().alias("__no"), F.coalesce(own, F.lit(0)).alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__tie"))
-    keys = ["__no", "__id", "__tie"]
-    return keyed.join(firsts, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return [own.isNull(), F.coalesce(own, F.lit(0)), F.xxhash64(F.col(f"`{text}`"))]
 
 
 def _sets(text: Column, shingle: int) -> Column:
@@ -153,11 +165,6 @@ def _distinct_shingles(text: Column, shingle: int) -> Column:
     return of(text)
 
 
-def _row_keys(doc_id: str, text: str) -> list[Column]:
-    own = F.col(f"`{doc_id}`").cast("long")
-    return [own.isNull().alias("__no"), F.coalesce(own, F.lit(0)).alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__tie")]
-
-
 def _candidates(nodes: DataFrame, bits: int, similarity: float, lead_salt: int | None) -> DataFrame:
     """Pairs ``(a, b)`` of ``nodes`` (``node, fp, n, root``) of unlike root that
     differ by ``bits`` at most and whose sizes admit the similarity.  With
@@ -188,9 +195,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str,
     """The pairs whose distinct shingles have the similarity, by their number in both."""
     pairs = cut_lineage(pairs)
     asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select(
-        "node", F.col("least.no_id").alias("__no"), F.coalesce("least.doc_id", F.lit(0)).alias("__id"), F.col("least.tie").alias("__tie"))
-    keyed = docs.select(*_row_keys(doc_id, text), F.col(f"`{text}`").alias("__text")).join(asked, ["__no", "__id", "__tie"]).dropDuplicates(["node"])
-    sets = cut_lineage(keyed.select("node", _distinct_shingles(F.col("__text"), shingle).alias("set")))
+        "node", F.col("least.no_id").alias("no_id"), F.coalesce("least.doc_id", F.lit(0)).alias("id"), F.col("least.tie").alias("tie"))
+    own = [c.alias(k) for c, k in zip(_row_keys(doc_id, text), ROW_KEYS)]
+    keyed = docs.select(*own, F.col(f"`{text}`").alias("text")).join(asked, list(ROW_KEYS)).dropDuplicates(["node"])
+    sets = cut_lineage(keyed.select("node", _distinct_shingles(F.col("text"), shingle).alias("set")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
     both = both.select("a", "b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("common"))
     return both.filter(F.col("common") >= F.lit(similarity) * (F.col("m") + F.col("n") - F.col("common")) - 1e-6).select("a", "b")
@@ -224,8 +232,4 @@ def keep_dissimilar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``docs`` with the first row of each component of ``similar_members``, in
     the order of ``keep_representatives``; all columns unchanged."""
     _, members = similar_members(docs, doc_id, text, shingle, bits, similarity)
-    firsts = members.select("first").distinct().select(
-        F.col("first.no_id").alias("__no"), F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.tie").alias("__tie")
-    )
-    keys = ["__no", "__id", "__tie"]
-    return docs.select("*", *_row_keys(doc_id, text)).join(firsts, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return _keep_first(docs, members, doc_id, text)
