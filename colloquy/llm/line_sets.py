@@ -5,52 +5,94 @@ Jaccard similarity of at least ``threshold`` share a word among the rarest few
 of both (prefix filter).  Sizes and positions bound what else they can share;
 survivors are verified exactly.  A line goes when an earlier line matches it.
 
-Equal lines are folded first.  Lines that share a rare word are compared with
-the earliest of them; only lines which that leaves unmatched are compared with
-the other earlier ones, so a large group of near copies costs one pair a line
-and not all pairs.
+Rarity comes from counts in ``CELLS`` hash cells, one byte a cell, whatever the
+corpus.  A cell that counted one word proves the word single: it can be shared
+by no other line and leaves the index before anything is shuffled.
+
+Equal lines are folded first.  Then lines meet a few early ones of a group that
+shares one word of their prefixes, and what that settles is never compared with
+other late lines again: a large group of near copies costs a few pairs a line and
+not all pairs.  All other lines meet in one equality join on the words of
+their prefixes.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.shared import shared_folder
+from colloquy.llm.shared import fresh_name, shared_folder
 from colloquy.session import cut_lineage
 
-CELLS = 1 << 14
+#: Cells of the rarity table, cells to a row while it is gathered; steps to a doubling of the count, and the last step.
+CELLS, LANE = 1 << 20, 1 << 12
+FINE, MOST = 4, 90
+#: First sign of the table: a cell that counted one.
+LOWEST = 33
+#: Leads of a group at most.
+LEADS = 8
+#: Parts of a line's partners, of each of which the likeliest is tried first.
+PARTS = 8
+#: Words from which a line has parities of 128 bits.
+LONG_LINE = 96
+#: Ids, in rows of two longs at most, up to which a join sends them to every task.
+BROADCAST_ROWS = 500_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def words(line: Column) -> Column:
-    """``[^\\x20\\x09-\\x0D]+`` in order; a blank line gives one empty string."""
-    return F.split(F.trim(line, F.lit(BLANKS)), "[ \\t-\\r]+", -1)
+    """``[^\\x20\\x09-\\x0D]+`` in order; a blank line gives one empty string.
+    Where all white space is single blanks, a plain cut does."""
+    trimmed = F.trim(line, F.lit(BLANKS))
+    return F.when(F.contains(line, F.lit("  ")) | line.rlike("[\\t-\\r]"), F.split(trimmed, "[ \\t-\\r]+", -1)).otherwise(F.split(trimmed, " ", -1))
 
 
-def _levels(lines: DataFrame) -> Column:
-    """How common words are, by a hash cell of theirs: the binary logarithm of
-    the cell's count over all lines against the mean cell (0: below)."""
-    counts = lines.select(F.explode(words(F.col("text"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("c")).count()
-    held = {r.c: r["count"] for r in counts.collect()}  # CELLS rows at most
-    mean = max(sum(held.values()) / CELLS, 1.0)
-    levels = [max(0, math.floor(math.log2(max(held.get(c, 0), 1) / mean))) for c in range(CELLS)]
-    return F.expr(f"cast(split('{','.join(map(str, levels))}', ',') AS array<int>)")
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")
 
 
-def _tokens(line: Column, levels: Column) -> Column:
-    """The distinct words of a line as longs, rarest first: level, then longer
-    words before shorter ones, then 51 bits of hash."""
-    def token(w):
-        h = F.xxhash64(w)
-        level = F.element_at(levels, (F.pmod(h, F.lit(CELLS)) + 1).cast("int")).cast("long")
-        size = F.lit(63).cast("long") - F.least(F.length(w), F.lit(63))
-        return F.shiftleft(level, 57).bitwiseOR(F.shiftleft(size, 51)).bitwiseOR(F.shiftrightunsigned(h, 13))
+class Rarity(NamedTuple):
+    """A binary literal with one byte a cell: ``LOWEST`` where one word fell on the
+    cell, then steps of the logarithm of the count.  About a third of all words
+    lie below the step ``third``."""
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), token)))
+    table: Column
+    third: int
+
+
+def _rarity(rows: DataFrame) -> Rarity:
+    """Counted over all whole texts."""
+    word = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(words(F.col("line"))).alias("w")).filter("w <> ''")
+    counts = word.groupBy(_cell(F.xxhash64("w")).alias("c")).agg(F.count("*").alias("n"))
+    step = F.least(F.floor(F.log2("n") * FINE), F.lit(MOST)).cast("int")
+    signs = counts.select(F.floor(F.col("c") / LANE).cast("int").alias("lane"), F.struct((F.col("c") % LANE).alias("at"), F.char(step + LOWEST).alias("sign")).alias("s"))
+    held = signs.groupBy("lane").agg(F.collect_list("s").alias("held")).select("lane", F.array_sort("held").alias("held"))
+    gap = lambda s, i: s["at"] - F.coalesce(F.get("held", i - 1)["at"], F.lit(-1)) - 1
+    runs = F.transform("held", lambda s, i: F.concat(F.repeat(F.lit(chr(LOWEST)), gap(s, i)), s["sign"]))
+    table = bytearray([LOWEST]) * CELLS
+    for r in held.select("lane", F.array_join(runs, "").alias("signs")).collect():  # CELLS / LANE rows at most
+        table[r.lane * LANE : r.lane * LANE + len(r.signs)] = r.signs.encode()
+    words_at = [table.count(sign) * 2 ** ((sign - LOWEST) / FINE) for sign in range(LOWEST, LOWEST + MOST + 1)]
+    below = [sum(words_at[:i]) for i in range(len(words_at))]
+    return Rarity(F.lit(bytes(table)), LOWEST + sum(b <= sum(words_at) / 3 for b in below) - 1)
+
+
+def _tokens(line: Column, rarity: Rarity) -> Column:
+    """The distinct words of a line as longs: step of rarity, then 56 bits of
+    hash; rarer ones are smaller."""
+    def token(h):
+        sign = F.ascii(F.substring(rarity.table, _cell(h) + 1, 1).cast("string")).cast("long")
+        return F.shiftleft(sign, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.transform(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), token)
+
+
+def _rarest(tokens: Column, rare: Column, k: Column) -> Column:
+    """The ``k`` smallest tokens, in order; ``rare`` are those below a step, which
+    need not all be sorted where they are enough."""
+    return F.slice(F.sort_array(F.when(F.size(rare) >= k, rare).otherwise(tokens)), F.lit(1), k)
 
 
 def _parity(tokens: Column) -> Column:
@@ -62,36 +104,159 @@ def _parity(tokens: Column) -> Column:
     ))
 
 
+def _parities(tokens: Column, n: Column) -> list[Column]:
+    """``even, odd``: 128 bits for a long line, half of its words in each; a short
+    one has all words in ``even``.  The two together are the parity of all."""
+    half = lambda bit: _parity(F.filter(tokens, lambda t: F.getbit(t, F.lit(6)) == bit))
+    long = n > LONG_LINE
+    return [F.when(long, half(0)).otherwise(_parity(tokens)).alias("even"), F.when(long, half(1)).otherwise(F.lit(0).cast("long")).alias("odd")]
+
+
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
     """Words two sets of sizes ``a`` and ``b`` must share."""
     return F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - 1e-9)
 
 
-def _could_match(x: str, y: str, threshold: float) -> Column:
-    """Length filter, the positional filter at a shared word, and the same bound
-    on how many words may differ held against the parities."""
-    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
-    left = 1 + F.least(nx - F.col(f"{x}at"), ny - F.col(f"{y}at"))
-    # Words before the shared one can agree too, as many as the earlier place allows.
-    most = left + F.least(F.col(f"{x}at"), F.col(f"{y}at")) - 1
-    overlap = _least_overlap(nx, ny, threshold)
-    differ = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
-    return (
-        (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (differ <= nx + ny - 2 * overlap) & (most >= overlap)
-    )
+def _alike(threshold: float) -> Column:
+    """Of rows ``x`` and ``y``: length filter, and the bound on how many words may
+    differ held against the parities."""
+    nx, ny = F.col("x.n"), F.col("y.n")
+    even, odd = (F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")) for p in ("even", "odd"))
+    both = F.least(nx, ny) > LONG_LINE
+    differ = F.when(both, F.bit_count(even) + F.bit_count(odd)).otherwise(F.bit_count(even.bitwiseXOR(odd)))
+    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (differ <= nx + ny - 2 * _least_overlap(nx, ny, threshold))
+
+
+def _in_place(threshold: float) -> Column:
+    """Positional filter at a word that ``x`` and ``y`` share: words after it, and
+    as many before it as the earlier place allows."""
+    nx, ny, ax, ay = (F.col(c) for c in ("x.n", "y.n", "x.at", "y.at"))
+    return F.least(nx - ax, ny - ay) + F.least(ax, ay) >= _least_overlap(nx, ny, threshold)
+
 
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``h, doc_id, tie, place, line`` of every line with words."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    lines = rows.select("doc_id", "tie", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    return lines.filter(F.trim("line", F.lit(BLANKS)) != "").select(F.xxhash64("line").alias("h"), "doc_id", "tie", "place", "line")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: Spark then knows its size."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _ids(df: DataFrame, name: str) -> DataFrame:
+    """A few narrow columns of ids, stored and counted: broadcast up to
+    ``BROADCAST_ROWS``, left to Spark's own choice of join beyond."""
+    held = _stored(df, name)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
+def _distinct_lines(lines: DataFrame, rarity: Rarity, threshold: float) -> DataFrame:
+    """Each distinct line once: ``id``, its hash, its first place and how often
+    it occurs; size, parity, and the words of its prefix that are not single
+    (31 bits each), of which ``skip`` single ones come before."""
+    n, k = F.size("tokens"), F.col("k")
+    marked = lines.select("h", F.struct("doc_id", "tie", "place").alias("first"), _tokens(F.col("line"), rarity).alias("tokens"))
+    marked = marked.select("h", "first", n.alias("n"), *_parities(F.col("tokens"), n), "tokens", (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int").alias("k"))
+    rare = F.filter("tokens", lambda t: t < (rarity.third << 56))
+    marked = marked.withColumn("rare", rare)
+    shared = F.filter(_rarest(F.col("tokens"), F.col("rare"), k), lambda t: t >= ((LOWEST + 1) << 56))
+    keys = F.transform(shared, lambda t: t.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int"))
+    marked = marked.select("h", "first", F.struct("n", "even", "odd", "k", keys.alias("keys")).alias("own"))
+    folded = marked.groupBy("h").agg(F.min("first").alias("first"), F.count("*").alias("copies"), F.any_value("own").alias("own"))
+    return _stored(folded.select(
+        F.monotonically_increasing_id().alias("id"), "h", "first", "copies", "own.n", "own.even", "own.odd", (F.col("own.k") - F.size("own.keys")).alias("skip"), "own.keys"
+    ), "distinct-lines")
+
+
+def _met_leads(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of a line and a lead of its group that might match it.  A
+    group shares the word of the prefix whose hash is least; it has ``LEADS`` leads
+    at most, each the earliest line of one part of the group."""
+    key = F.array_min(F.transform("keys", lambda k: F.xxhash64(k)))
+    asked = distinct.filter("size(keys) > 0").select(key.alias("key"), "first.doc_id", "id", "n", "even", "odd")
+    part = F.pmod(F.xxhash64("id"), F.lit(LEADS)).alias("part")
+    leads = asked.groupBy("key", part).agg(F.min(F.struct("doc_id", "id", "n", "even", "odd")).alias("l"))
+    leads = leads.select("key", "l.id", "l.n", "l.even", "l.odd")
+    met = asked.alias("x").join(leads.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & _alike(threshold))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """``id`` of the later line of each pair ``(a, b)`` that reaches the threshold.
+    Only lines in pairs are fetched, one copy of each."""
+    pairs = cut_lineage(pairs.distinct())
+    some = _ids(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked-lines")
+    named = distinct.join(some, "id").select("id", "h", "first")
+    held = lines.select("h", "line").join(_ids(named.select("id", "h"), "wanted-lines"), "h").groupBy("id").agg(F.any_value("line").alias("line"))
+    texts = _stored(held.join(named.select("id", "first"), "id"), "line-texts")
+    both = pairs.join(texts.alias("x"), F.col("a") == F.col("x.id")).join(texts.alias("y"), F.col("b") == F.col("y.id"))
+    hashed = [F.array_distinct(F.transform(words(F.col(c)), lambda w: F.xxhash64(w))).alias(t) for c, t in (("x.line", "s"), ("y.line", "t"))]
+    both = both.select("a", "b", F.col("x.first").alias("af"), F.col("y.first").alias("bf"), *hashed)
+    enough = F.size(F.array_intersect("s", "t")) >= _least_overlap(F.size("s"), F.size("t"), threshold)
+    return both.filter(enough).select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+
+
+def _index(distinct: DataFrame) -> DataFrame:
+    doc = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
+    placed = distinct.select("id", doc.alias("doc"), "n", "even", "odd", "skip", F.posexplode("keys").alias("pos", "token"))
+    return placed.select("token", "id", "doc", "n", "even", "odd", (F.col("pos") + F.col("skip")).alias("at"))
+
+
+def _met(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, differ``: lines of ``x`` and other lines of ``y``, of no later
+    document, that may match; once for each word they share in their prefixes."""
+    fits = (F.col("x.id") != F.col("y.id")) & (F.col("y.doc") <= F.col("x.doc")) & _alike(threshold) & _in_place(threshold)
+    differ = F.bit_count(F.col("x.even").bitwiseXOR(F.col("x.odd")).bitwiseXOR(F.col("y.even")).bitwiseXOR(F.col("y.odd")))
+    return x.alias("x").join(y.alias("y"), "token").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), differ.alias("differ"))
+
+
+def _likeliest(met: DataFrame) -> DataFrame:
+    """For each line the likeliest partner in each of a few parts of all its
+    partners, and whether those are ``every`` one it met.  A line settled by one of
+    them needs no other, so a group of near copies gives few pairs a line."""
+    aggregates = []
+    for j in range(PARTS):
+        aggregates += [F.expr(f"{e} FILTER (WHERE part = {j}) AS {name}{j}") for e, name in (("min_by(b, differ)", "best"), ("min(b)", "least"), ("max(b)", "most"))]
+    rows = met.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS))).groupBy("a").agg(*aggregates)
+    every = F.lit(True)
+    for j in range(PARTS):
+        every = every & F.col(f"least{j}").eqNullSafe(F.col(f"most{j}"))
+    return rows.select("a", F.array_compact(F.array(*[f"best{j}" for j in range(PARTS)])).alias("best"), every.alias("every"))
+
+
+def _repeated(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataFrame:
+    """``repeated_lines``; repeated rows give repeated places."""
+    lines = _lines(docs, doc_id, text)
+    distinct = _distinct_lines(lines, _rarity(docs.select(F.col(f"`{text}`").alias("text"))), threshold)
+    settled = _ids(_verified(_met_leads(distinct, threshold), distinct, lines, threshold), "settled-lines")
+
+    # Lines still open meet each other and, as partners, the settled ones.
+    open_, done = _index(distinct.join(settled, "id", "left_anti")), _index(distinct.join(settled, "id", "left_semi"))
+    likely = cut_lineage(_likeliest(_met(open_, open_, threshold).unionByName(_met(open_, done, threshold))))
+    found = _ids(_verified(likely.select("a", F.explode("best").alias("b")), distinct, lines, threshold), "found-lines")
+    gone = settled.unionByName(found)
+    # Lines with more partners than were tried, none of which settled them, meet all.
+    left = _ids(likely.filter("NOT every").select(F.col("a").alias("id")).join(found, "id", "left_anti"), "left-lines")
+    if not left.isEmpty():
+        asking = _index(distinct.join(left, "id", "left_semi"))
+        tokens = _ids(asking.select("token").distinct(), "left-words")
+        rest = _met(asking, _index(distinct).join(tokens, "token", "left_semi"), threshold).select("a", "b")
+        gone = gone.unionByName(_verified(rest, distinct, lines, threshold))
+    gone = _ids(gone.distinct(), "gone")
 
-def _verified(pairs: DataFrame, lines: DataFrame, levels: Column, threshold: float) -> DataFrame:
-    """``x`` of the pairs ``(x, y)`` whose sets reach the threshold, where ``y``
-    starts earlier.  Sets are made of the lines in pairs alone."""
-    pairs = cut_lineage(pairs)
-    some = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
-    sets = cut_lineage(lines.join(some, "h", "left_semi").select("h", "first", _tokens(F.col("line"), levels).alias("tokens")))
-    x = sets.select(F.col("h").alias("x"), F.col("tokens").alias("xs"), F.col("first").alias("xf"))
-    y = sets.select(F.col("h").alias("y"), F.col("tokens").alias("ys"), F.col("first").alias("yf"))
-    shared = F.size(F.array_intersect("xs", "ys"))
-    enough = shared >= _least_overlap(F.size("xs"), F.size("ys"), threshold)
-    return pairs.join(x, "x").join(y, "y").filter((F.col("yf") < F.col("xf")) & enough).select("x").distinct()
+    # Equal lines: all but the first go; the first goes when another set matched it.
+    narrow = distinct.select("id", "h", "first", "copies")
+    matched = _ids(narrow.join(gone, "id", "left_semi").select("h"), "gone-lines")
+    copied = _ids(narrow.filter("copies > 1").join(gone, "id", "left_anti").select("h", "first"), "copied-lines")
+    places = lines.select("h", "doc_id", "tie", "place")
+    later = places.join(copied, "h").filter(F.struct("doc_id", "tie", "place") > F.col("first"))
+    return places.join(matched, "h", "left_semi").unionByName(later.select(*places.columns)).select("doc_id", "tie", "place")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,96 +265,42 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_i
     Earlier: smaller document id (null first), then smaller ``tie`` (a hash of
     the text), then smaller line number from 0.  Matches are judged on the
     input: a line matched only by a removed line goes too.  Lines without words
-    are never matched.  Rows alike in id and text are one document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    lines = rows.select("doc_id", "tie", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.filter(F.trim("line", F.lit(BLANKS)) != "").withColumn("h", F.xxhash64("line"))
-    levels = _levels(rows)
-
-    # Distinct lines, bucketed by hash: read twice below, shuffled once.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"lines_{uuid.uuid4().hex}"
-    (
-        lines.groupBy("h").agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), F.any_value("line").alias("line"))
-        .write.format("parquet").option("compression", "zstd").bucketBy(parts, "h").saveAsTable(name)
-    )
-    distinct = spark.table(name)
-
-    n = F.size("tokens")
-    prefix = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
-    index = (
-        distinct.select("h", F.col("first.doc_id").alias("doc"), _tokens(F.col("line"), levels).alias("tokens"))
-        .select("h", "doc", n.alias("n"), _parity(F.col("tokens")).alias("bits"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"))
-    )
-    group = Window.partitionBy("token")
-    member = F.struct("doc", "h", "n", "at", "bits")
-    grouped = index.withColumns({
-        "size": F.count("*").over(group), "lead": F.min(member).over(group), "latest": F.max(F.struct("doc")).over(group),
-    }).filter("size > 1")
-    # A group of two is settled by its lead, unless both lines are of one document.
-    grouped = grouped.withColumn("open", (F.col("size") > 2) | F.col("latest.doc").eqNullSafe(F.col("lead.doc"))).drop("size", "latest")
-    folder = shared_folder(spark, "line-groups")
-    grouped.write.option("compression", "zstd").parquet(folder)
-    met = spark.read.schema(grouped.schema).parquet(folder)
-
-    flat = met.select(
-        "token", F.col("h").alias("x"), F.col("doc").alias("xdoc"), F.col("n").alias("xn"), F.col("at").alias("xat"),
-        F.col("bits").alias("xbits"), "open",
-        F.col("lead.h").alias("y"), F.col("lead.n").alias("yn"), F.col("lead.at").alias("yat"), F.col("lead.bits").alias("ybits"),
-    )
-    led = flat.filter((F.col("x") != F.col("y")) & _could_match("x", "y", threshold)).select("x", "y").distinct()
-    matched = cut_lineage(_verified(led, distinct, levels, threshold))
-    open_ = flat.filter("open").drop("open", "y", "yn", "yat", "ybits").join(matched, "x", "left_anti")
-    other = met.filter("open").select("token", F.col("h").alias("y"), F.col("doc").alias("ydoc"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("bits").alias("ybits"))
-    rest = (
-        open_.join(other, "token")
-        .filter((F.col("x") != F.col("y")) & (F.coalesce(F.col("ydoc") <= F.col("xdoc"), F.col("ydoc").isNull())) & _could_match("x", "y", threshold))
-        .select("x", "y").distinct()
-    )
-    gone = cut_lineage(matched.unionByName(_verified(rest, distinct, levels, threshold)).select(F.col("x").alias("h")).distinct())
-    spark.sql(f"DROP TABLE {name}")
-
-    # Equal lines: all but the first go; the first goes when another set matched it.
-    firsts = cut_lineage(
-        lines.groupBy("h").agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), F.count("*").alias("n"))
-        .join(gone.withColumn("gone", F.lit(True)), "h", "left").filter("n > 1 OR gone").select("h", "first", "gone")
-    )
-    placed = lines.select("h", "doc_id", "tie", "place").join(firsts, "h")
-    return placed.filter(F.col("gone").isNotNull() | (F.struct("doc_id", "tie", "place") > F.col("first"))).select("doc_id", "tie", "place").distinct()
+    are never matched; a null text has no lines.  Rows alike in id and text are
+    one document.  Other columns are not read."""
+    return _repeated(docs, threshold, doc_id, text).distinct()
 
 
 def line_report(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, removed_lines`` (line numbers from 0,
     ascending, as text joined by commas), one row per document; a null text has
     no lines, an empty text one."""
-    gone = _by_document(repeated_lines(docs, threshold, doc_id, text))
+    gone = _by_document(_repeated(docs, threshold, doc_id, text))
+    own = F.col(f"`{text}`")
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"),
-        F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-    ).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    joined = rows.alias("r").join(gone, F.expr("r.doc_id <=> gone_id AND r.tie = gone_tie"), "left")
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("tie"),
+        F.greatest(F.coalesce(F.size(F.split(own, "\n", -1)), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
+    )
+    joined = rows.alias("r").join(gone.alias("g"), F.expr("r.doc_id <=> g.gone_id AND r.tie = g.gone_tie"), "left")
     return joined.select(
-        "r.doc_id", "n_lines", F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(F.col("__places").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
+        "r.doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("places").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
     )
 
 
 def _by_document(places: DataFrame) -> DataFrame:
     """Removed line numbers of each document; as many as it has lines at most."""
-    return places.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.array_sort(F.collect_set("place")).alias("__places"))
+    return places.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without their repeated lines, all columns kept.  A document
-    that loses every line that has words is dropped; one that had none, or a
-    null text, stays as it is."""
-    gone = _by_document(repeated_lines(docs, threshold, doc_id, text))
-    own, columns = F.col(f"`{text}`"), docs.columns
-    marked = docs.alias("d").join(gone, F.expr(f"cast(d.`{doc_id}` AS bigint) <=> gone_id AND xxhash64(d.`{text}`) = gone_tie"), "left")
-    kept = F.array_join(
-        F.filter(F.split(F.col(f"d.`{text}`"), "\n", -1), lambda line, i: ~F.array_contains("__places", i)), "\n"
-    )
-    new = F.when(F.col("__places").isNull(), F.col(f"d.`{text}`")).otherwise(kept)
-    out = marked.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in columns], F.col("__places").isNotNull().alias("__cut"))
-    return out.filter(~F.col("__cut") | (F.trim(own, F.lit(BLANKS)) != "")).drop("__cut")
+    """``docs`` without their repeated lines, all columns kept, whatever their
+    names.  A document that loses every line that has words is dropped; one that
+    had none, or a null text, stays as it is."""
+    gone = _by_document(_repeated(docs, threshold, doc_id, text))
+    cut = fresh_name(docs.columns, "cut")
+    own, places = F.col(f"d.`{text}`"), F.col("g.places")
+    marked = docs.alias("d").join(gone.alias("g"), F.expr(f"cast(d.`{doc_id}` AS bigint) <=> g.gone_id AND xxhash64(d.`{text}`) = g.gone_tie"), "left")
+    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda line, i: ~F.array_contains(places, i)), "\n")
+    new = F.when(places.isNull(), own).otherwise(kept)
+    out = marked.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns], places.isNotNull().alias(cut))
+    return out.filter(~F.col(cut) | (F.trim(F.col(f"`{text}`"), F.lit(BLANKS)) != "")).drop(cut)
