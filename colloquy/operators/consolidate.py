@@ -263,7 +263,8 @@ def _summary_links(records: DataFrame, members: DataFrame, components: DataFrame
 def near_duplicate_links(positions: DataFrame, rules=("passage", "summary")) -> DataFrame:
     """Links ``(submission_id, a, b)`` whose transitive closure is exactly that
     of the near-duplicate relation."""
-    records = _records(positions)
+    # Normalized texts are read by every step, and first scores by the last one too: written once.
+    records = cut_lineage(_records(positions))
     links, passages, summaries = [], None, None
     if "passage" in rules:
         long_enough = records.filter(F.length("passage") >= M.MIN_RUN)
@@ -276,8 +277,9 @@ def near_duplicate_links(positions: DataFrame, rules=("passage", "summary")) ->
         told = records.filter("summary <> ''")
         summaries = _text_members(told, "summary")
         links.append(_copy_links(told, summaries, "summary"))
-    found = _union(links)
+    found = cut_lineage(_union(links))
     components = connected_components(found.select(_node("a").alias("a"), _node("b").alias("b")))
+    links = [found]
     if passages is not None:
         links.append(_score_passages(_cross_pairs(fingerprint_rows, components), records))
     if summaries is not None:

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from colloquy import vocab
 from colloquy.functions import text as T
 from colloquy.operators import stats
+from colloquy.session import cut_lineage
 
 STRINGS = "array<string>"
 UNSUPPORTED_NOTE = "Too few commenters on each side to compare groups on this question so far."
@@ -176,10 +177,12 @@ def guard(claims: DataFrame, rows: DataFrame) -> DataFrame:
     """Claims after all guards, one row per claimed question, with the counts
     behind them, ``quality_flags`` and ``downgrades``."""
     asked = claims.select("question_id").distinct()
-    on_claimed = rows.join(asked, "question_id", "left_semi")
+    # Facts, citations and fill all read these rows: their narrow columns are written once.
+    narrow = ["question_id", "position_id", "commenter_id", "stakeholder_type", "submission_id", "response_type", "stance"]
+    on_claimed = cut_lineage(rows.join(asked, "question_id", "left_semi").select(*narrow))
     joined = (
         claims.join(stats.question_facts(on_claimed), "question_id", "left")
-        .join(citations(cited_ids(claims, rows)), "question_id", "left")
+        .join(citations(cited_ids(claims, on_claimed)), "question_id", "left")
         .join(fill_candidates(on_claimed), "question_id", "left")
     )
     limit = vocab.CLAIM_MAX_WORDS
