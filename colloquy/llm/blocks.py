@@ -34,7 +34,7 @@ def hashed_block(blocks: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
 
 
-def pack(df: DataFrame, assign=None) -> DataFrame:
+def pack(df: DataFrame, assign=None, level: int = LEVEL) -> DataFrame:
     """``(block, blob)`` rows from rows with an int column ``block``, or from
     any rows with ``assign(table)`` giving a block number for each."""
 
@@ -47,16 +47,16 @@ def pack(df: DataFrame, assign=None) -> DataFrame:
             cuts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1)) if len(block) else []
             for at, end in zip(cuts, [*cuts[1:], len(block)]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block[at]], pa.int32()), pa.array([to_blob(table.slice(at, end - at))], pa.binary())],
+                    [pa.array([block[at]], pa.int32()), pa.array([to_blob(table.slice(at, end - at), level)], pa.binary())],
                     ["block", "blob"],
                 )
 
     return df.mapInArrow(rows, "block int, blob binary")
 
 
-def to_blob(table: pa.Table) -> bytes:
+def to_blob(table: pa.Table, level: int = LEVEL) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec(CODEC, compression_level=LEVEL))) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec(CODEC, compression_level=level))) as writer:
         writer.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 

@@ -23,8 +23,11 @@ from colloquy.llm.blocks import blobs, block_count, pack
 from colloquy.llm.shared import shared_folder
 
 NO_ID = np.iinfo(np.int64).min
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 12 << 20
 SAMPLE_PER_BLOCK, SAMPLE_MOST = 1024, 1_000_000
+WORDS_AT_ONCE = 1 << 18
+#: Text crosses the network once, so it is packed quickly; rows of a batch that a task hands back.
+PACKING, ROWS_AT_ONCE = 2, 512
 
 
 def _bounds(rows: DataFrame, blocks: int) -> list[tuple[int, int]]:
@@ -52,30 +55,55 @@ def _by_range(bounds: list[tuple[int, int]]):
     return assign
 
 
+def _flat(ids_of: pa.ListArray, number: np.ndarray) -> np.ndarray:
+    """The ids of words, one after the other, put together in slices: what is
+    needed besides the result does not grow with the block."""
+    offsets, values = ids_of.offsets.to_numpy(), ids_of.values.to_numpy()
+    sizes = np.diff(offsets)
+    cuts = range(0, len(number), WORDS_AT_ONCE)
+    out, at = np.empty(sum(int(sizes[number[s : s + WORDS_AT_ONCE]].sum()) for s in cuts), np.int32), 0
+    for s in cuts:
+        own = number[s : s + WORDS_AT_ONCE]
+        n = sizes[own]
+        ends = np.cumsum(n)
+        place = np.repeat(offsets[own] - ends + n, n)
+        place += np.arange(len(place), dtype=place.dtype)
+        out[at : at + len(place)] = values[place].view(np.int32)
+        at += len(place)
+    return out
+
+
 def _encode(path: str, end_id: int | None):
-    """Encode a block: each of its distinct words once."""
-    tail = [] if end_id is None else [end_id]
+    """Encode a block: each of its distinct words once.  The end id is one more
+    word behind each document's own."""
 
     def encode(docs: pa.Table) -> pa.Table:
+        block = docs["block"][0].as_py()
         rows = pa.concat_tables(blobs(docs)).combine_chunks()
         rows = rows.append_column("place", rows["doc_id"].fill_null(NO_ID)).sort_by([("place", "ascending"), ("tie", "ascending")])
         words, first = bpe.cut(rows["text"].combine_chunks())
+        doc_id = rows["doc_id"].combine_chunks()
         number = words.dictionary_encode()
+        del rows, words
         ids_of = bpe.encode_words(path, number.dictionary.to_pylist())
         number = number.indices.to_numpy()
-        ends = np.append(0, np.cumsum(np.diff(ids_of.offsets.to_numpy())[number], dtype=np.int64))[first]
-        flat = bpe.text_ids(ids_of, number).view(np.int32)
-        if tail:
-            flat = np.insert(flat, ends[1:], end_id)
-        offsets = ends + len(tail) * np.arange(len(ends))
-        return pa.table({
-            "doc_id": rows["doc_id"].combine_chunks(),
-            "ordinal": pa.array(np.arange(len(rows)), pa.int64()),
+        if end_id is not None:
+            number = np.insert(number, first[1:], len(ids_of))
+            first = first + np.arange(len(first))
+            ids_of = pa.concat_arrays([ids_of, pa.array([[end_id]], ids_of.type)])
+        sizes = np.append(np.int64(0), np.cumsum(np.diff(ids_of.offsets.to_numpy())[number], dtype=np.int64))
+        offsets = sizes[first]
+        flat = _flat(ids_of, number)
+        del number, ids_of, sizes
+        whole = pa.table({
+            "doc_id": doc_id,
+            "ordinal": pa.array(np.arange(len(doc_id)), pa.int64()),
             "start_in_block": pa.array(offsets[:-1], pa.int64()),
             "n_tokens": pa.array(np.diff(offsets), pa.int64()),
             "tokens": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-            "block": pa.array(np.full(len(rows), docs["block"][0].as_py()), pa.int32()),
+            "block": pa.array(np.full(len(doc_id), block), pa.int32()),
         })
+        return pa.concat_tables([whole.slice(i, ROWS_AT_ONCE) for i in range(0, len(whole), ROWS_AT_ONCE)] or [whole])
 
     return encode
 
@@ -92,7 +120,7 @@ def write_tokens(
     leaves a folder without rows.  Other columns of ``docs`` are not read."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
     bounds = _bounds(rows, block_count(rows, "text", BLOCK_CHARS))
-    encoded = pack(rows, _by_range(bounds)).groupBy("block").applyInArrow(
+    encoded = pack(rows, _by_range(bounds), PACKING).groupBy("block").applyInArrow(
         _encode(vocabulary, end_id), "doc_id long, ordinal long, start_in_block long, n_tokens long, tokens array<int>, block int"
     )
     writer = encoded.write.partitionBy("block").option("compression", "zstd").option("parquet.block.size", row_group_bytes)
