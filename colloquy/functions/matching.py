@@ -8,6 +8,7 @@ score the ones that are left.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -48,6 +49,52 @@ def fingerprint_text(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, first.astype(np.int32), (last + MIN_RUN).astype(np.int32)
 
 
+def _sharing(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose text shares a fingerprint with another text of their
+    submission, or is held by several rows.  The first row of a text carries the
+    text and the fingerprints it shares."""
+    text = rows.groupby(["submission_id", "passage"], sort=False).ngroup().to_numpy()
+    first, copies = np.unique(text, return_index=True, return_counts=True)[1:]
+    prints = [fingerprint_text(t) for t in rows.passage.iloc[first]]
+    holder = np.repeat(np.arange(len(first)), [len(p[0]) for p in prints])
+    columns = [np.concatenate(c) for c in zip(*prints)]
+    group = pd.factorize(rows.submission_id.iloc[first])[0][holder]
+    order = np.lexsort((holder, columns[0], group))
+    key, part, own = columns[0][order], group[order], holder[order]
+    opens = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+    sizes = np.diff(np.r_[opens, len(key)])
+    shared = np.zeros(len(key), dtype=bool)
+    shared[order] = np.repeat(own[opens] != own[opens + sizes - 1], sizes)
+    kept = np.bincount(holder[shared], minlength=len(first))
+    at = np.flatnonzero(((kept > 0) | (copies > 1))[text])
+    texts, leads = text[at], (first[text[at]] == at) & (kept[text[at]] > 0)
+    passages = rows.passage.iloc[at].tolist()
+    out = {c: rows[c].iloc[at].tolist() for c in ("submission_id", "segment_id", "stance", "mask")}
+    out["text_id"] = [hashlib.md5(p.encode()).hexdigest() for p in passages]
+    out["chars"] = [len(p) for p in passages]
+    out["passage"] = [p if lead else None for p, lead in zip(passages, leads)]
+    for name, column in zip(("fp", "start", "stop"), columns):
+        parts = np.split(column[shared], np.cumsum(kept)[:-1])
+        out[name] = [parts[i] if lead else None for i, lead in zip(texts, leads)]
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
+
+
+def shared_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk rows sorted by submission; hold the last submission of a batch
+    until the next one shows where it ends."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        last = (rows.submission_id == rows.submission_id.iloc[-1]).to_numpy()
+        held = rows[last]
+        if not last.all():
+            yield _sharing(rows[~last])
+    if held is not None:
+        yield _sharing(held)
+
+
 def common_runs(a: str, b: str, size: int = MIN_RUN) -> list[tuple[int, int, int]]:
     """All maximal common runs of at least ``size`` characters: (i, j, length)."""
     places = defaultdict(list)
