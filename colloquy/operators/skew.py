@@ -29,3 +29,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01
     a = left.join(heavy, key, "left").withColumn(SALT, spread).drop(HEAVY)
     b = right.join(heavy, key, "left").withColumn(SALT, F.explode(every)).drop(HEAVY)
     return a.join(b, [key, SALT]).drop(SALT)
+
+
+ROWS_A_TASK = 250_000
+
+
+def dealt_by_size(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to a task for every ``ROWS_A_TASK`` of its
+    ``rows``, where that is more tasks than the session would make: sorts and
+    hash tables of joins and groupings on these keys then stay as large as they
+    are, and more rows make more tasks.  Else, or of unknown size, as it is."""
+    tasks = -(-(rows or 0) // ROWS_A_TASK)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks > usual else df

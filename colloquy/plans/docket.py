@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import vocab
-from colloquy.operators import assemble
+from colloquy.operators import assemble, skew
 from colloquy.sources import driver_tables
 
 
@@ -27,10 +27,11 @@ class Docket:
     Nothing runs here: every property is a plan, and plans that read the same
     exchanges share them through Spark's exchange reuse."""
 
-    def __init__(self, candidates: DataFrame, analysis: DataFrame, questions: DataFrame):
+    def __init__(self, candidates: DataFrame, analysis: DataFrame, questions: DataFrame, size: int | None = None):
         self.candidates = candidates
         self.analysis = analysis
         self.questions = questions
+        self.size = size  # rows of the analysis, where they are known without running it
 
     @classmethod
     def from_driver_tables(cls, spark: SparkSession, sf_dir: str) -> "Docket":
@@ -38,6 +39,8 @@ class Docket:
             driver_tables.candidates(spark, sf_dir),
             driver_tables.analysis_positions(spark, sf_dir),
             driver_tables.questions(spark),
+            # Answered by the files' footers.
+            driver_tables.table(spark, sf_dir, "lineitem").count(),
         )
 
     @cached_property
@@ -56,10 +59,15 @@ class Docket:
     def positions(self) -> DataFrame:
         return assemble.built_positions(self.analysis)
 
+    def dealt(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df``, of about as many rows as the analysis, dealt out by ``keys`` so
+        that a task's share does not grow with the docket."""
+        return skew.dealt_by_size(df, self.size, *keys)
+
     @cached_property
     def linked(self) -> DataFrame:
         authored = assemble.authored_submissions(self.submissions, self.commenters)
-        return assemble.linked_positions(self.positions, authored)
+        return assemble.linked_positions(self.dealt(self.positions, "submission_id"), authored)
 
     @cached_property
     def question_rows(self) -> DataFrame:
