@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from colloquy import vocab
+from colloquy.operators import skew
 
 # Fixed values.
 STATE_VERSION = "1.0.0"
@@ -35,16 +36,19 @@ def no_synthesis(questions: DataFrame) -> DataFrame:
     )
 
 
-def snapshot(rows: DataFrame, questions: DataFrame, synthesis: DataFrame | None = None) -> DataFrame:
+def snapshot(rows: DataFrame, questions: DataFrame, synthesis: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """Per question: distinct commenters, groups, commenters per issue, issue and
     response-type combinations, and the synthesis state.
 
     Everything kept is bounded by the vocabularies.  Who the commenters are is
-    a table of its own, ``snapshot_commenters``."""
-    combos = rows.groupBy(
+    a table of its own, ``snapshot_commenters``.  ``size``, about as many as the
+    rows are, lets tasks grow in number with them."""
+    facts = rows.select(
         "question_id", "commenter_id", "stakeholder_type", "primary_issue",
         F.coalesce("response_type", F.lit(UNKNOWN)).alias("response_type"),
-    ).agg(F.lit(1).alias("one"))
+    )
+    # Dealt so, all groupings down to a commenter need no further shuffle.
+    combos = skew.dealt_by_size(facts, size, "question_id", "commenter_id").groupBy(*facts.columns).agg(F.lit(1).alias("one"))
     per_issue = combos.groupBy("question_id", "commenter_id", "stakeholder_type", "primary_issue").agg(
         F.collect_set("response_type").alias("types")
     )
@@ -57,7 +61,7 @@ def snapshot(rows: DataFrame, questions: DataFrame, synthesis: DataFrame | None
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("primary_issue", "n")))).alias("issue_commenters"),
         F.array_sort(F.flatten(F.collect_list(shown))).alias("combos"),
     )
-    people = per_issue.groupBy("question_id", "commenter_id", "stakeholder_type").agg(F.lit(1).alias("one"))
+    people = facts.groupBy("question_id", "commenter_id", "stakeholder_type").agg(F.lit(1).alias("one"))
     counted = people.groupBy("question_id").agg(
         F.count("*").alias("distinct_commenters"),
         F.array_sort(F.collect_set("stakeholder_type")).alias("stakeholder_groups"),
