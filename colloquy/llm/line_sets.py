@@ -54,11 +54,14 @@ def _cell(h: Column) -> Column:
 
 
 class Rarity(NamedTuple):
-    """A binary literal with one byte a cell: ``LOWEST`` where one word fell on the
-    cell, then steps of the logarithm of the count.  About a third of all words
-    lie below the step ``third``."""
+    """One row with a binary ``table`` of one byte a cell: ``LOWEST`` where one word
+    fell on the cell, then steps of the logarithm of the count.  About a third of
+    all words lie below the step ``third``.
 
-    table: Column
+    Stored, and read as a scalar: as a literal it would be spelt out in every
+    text of a plan, which took the driver over 600 MB."""
+
+    rows: DataFrame
     third: int
 
 
@@ -76,14 +79,15 @@ def _rarity(rows: DataFrame) -> Rarity:
         table[r.lane * LANE : r.lane * LANE + len(r.signs)] = r.signs.encode()
     words_at = [table.count(sign) * 2 ** ((sign - LOWEST) / FINE) for sign in range(LOWEST, LOWEST + MOST + 1)]
     below = [sum(words_at[:i]) for i in range(len(words_at))]
-    return Rarity(F.lit(bytes(table)), LOWEST + sum(b <= sum(words_at) / 3 for b in below) - 1)
+    stored = _stored(rows.sparkSession.createDataFrame([(bytes(table),)], "table binary").coalesce(1), "rarity")
+    return Rarity(stored, LOWEST + sum(b <= sum(words_at) / 3 for b in below) - 1)
 
 
-def _tokens(line: Column, rarity: Rarity) -> Column:
+def _tokens(line: Column, table: Column) -> Column:
     """The distinct words of a line as longs: step of rarity, then 56 bits of
     hash; rarer ones are smaller."""
     def token(h):
-        sign = F.ascii(F.substring(rarity.table, _cell(h) + 1, 1).cast("string")).cast("long")
+        sign = F.ascii(F.substring(table, _cell(h) + 1, 1).cast("string")).cast("long")
         return F.shiftleft(sign, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.transform(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), token)
@@ -156,18 +160,25 @@ def _ids(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
-def _distinct_lines(lines: DataFrame, rarity: Rarity, threshold: float) -> DataFrame:
-    """Each distinct line once: ``id``, its hash, its first place and how often
-    it occurs; size, parity, and the words of its prefix that are not single
-    (31 bits each), of which ``skip`` single ones come before."""
+def _marked(lines: DataFrame, rarity: Rarity, threshold: float) -> DataFrame:
+    """``h, first, own`` of every line: what ``_distinct_lines`` keeps of one."""
     n, k = F.size("tokens"), F.col("k")
-    marked = lines.select("h", F.struct("doc_id", "tie", "place").alias("first"), _tokens(F.col("line"), rarity).alias("tokens"))
+    # Read once only, so Spark puts the scalar where it is read and no row holds it.
+    looking = lines.select("h", F.struct("doc_id", "tie", "place").alias("first"), "line", rarity.rows.scalar().alias("table"))
+    marked = looking.select("h", "first", _tokens(F.col("line"), F.col("table")).alias("tokens"))
     marked = marked.select("h", "first", n.alias("n"), *_parities(F.col("tokens"), n), "tokens", (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int").alias("k"))
     rare = F.filter("tokens", lambda t: t < (rarity.third << 56))
     marked = marked.withColumn("rare", rare)
     shared = F.filter(_rarest(F.col("tokens"), F.col("rare"), k), lambda t: t >= ((LOWEST + 1) << 56))
     keys = F.transform(shared, lambda t: t.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int"))
-    marked = marked.select("h", "first", F.struct("n", "even", "odd", "k", keys.alias("keys")).alias("own"))
+    return marked.select("h", "first", F.struct("n", "even", "odd", "k", keys.alias("keys")).alias("own"))
+
+
+def _distinct_lines(lines: DataFrame, rarity: Rarity, threshold: float) -> DataFrame:
+    """Each distinct line once: ``id``, its hash, its first place and how often
+    it occurs; size, parity, and the words of its prefix that are not single
+    (31 bits each), of which ``skip`` single ones come before."""
+    marked = _marked(lines, rarity, threshold)
     folded = marked.groupBy("h").agg(F.min("first").alias("first"), F.count("*").alias("copies"), F.any_value("own").alias("own"))
     return _stored(folded.select(
         F.monotonically_increasing_id().alias("id"), "h", "first", "copies", "own.n", "own.even", "own.odd", (F.col("own.k") - F.size("own.keys")).alias("skip"), "own.keys"
