@@ -213,20 +213,17 @@ def submissions_without_positions(subs: DataFrame, positions: DataFrame) -> Data
     return subs.join(positions.select("submission_id"), "submission_id", "left_anti")
 
 
-def question_rows(linked: DataFrame) -> DataFrame:
+#: Columns of question rows, and what they are called in linked positions.
+QUESTION_ROW = {
+    "position_id": "position_id", "commenter_id": "commenter_id", "commenter": "display_name",
+    "stakeholder_type": "stakeholder_type", "submission_id": "submission_id", "response_type": "response_type",
+    "stance": "position", "primary_issue": "primary_issue", "summary": "public_summary",
+}
+
+
+def question_rows(linked: DataFrame, columns=tuple(QUESTION_ROW)) -> DataFrame:
     """One row per (position, question), commenter attached."""
-    return linked.select(
-        F.explode("question_ids").alias("question_id"),
-        "position_id",
-        "commenter_id",
-        F.col("display_name").alias("commenter"),
-        "stakeholder_type",
-        "submission_id",
-        "response_type",
-        F.col("position").alias("stance"),
-        "primary_issue",
-        F.col("public_summary").alias("summary"),
-    )
+    return linked.select(F.explode("question_ids").alias("question_id"), *[F.col(QUESTION_ROW[c]).alias(c) for c in columns])
 
 
 def positions_by_question(linked: DataFrame) -> DataFrame:

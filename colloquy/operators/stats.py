@@ -28,6 +28,10 @@ def _sums(columns) -> list[Column]:
     return [F.expr(f"sum({c}) AS {c}") for c in columns]
 
 
+#: What the roll-up reads of question rows, besides the question.
+ROLLED_UP = ("commenter_id", "stakeholder_type", "submission_id", "response_type", "stance")
+
+
 def commenter_rollup(rows: DataFrame) -> DataFrame:
     """One row per (question, commenter): submissions, positions, positions by
     stance and by response type.  Columns nobody reads are pruned by Catalyst."""
@@ -141,33 +145,31 @@ def gap_stats(linked: DataFrame, gaps: DataFrame, max_examples: int = 3) -> Data
     """Per gap: counts, groups, most related questions and example excerpts.
 
     ``gaps`` is the gap dimension (``ordinal, gap_id, title, explanation``); every
-    gap keeps a row."""
+    gap keeps a row.  With no ``max_examples`` there is no column ``examples``."""
     totals = _gap_totals(linked)
     related = gap_top_questions(linked).groupBy("gap_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "question_id"))), lambda r: r["question_id"])
         .alias("question_ids")
     )
+    stats = gaps.join(totals, "gap_id", "left").join(related, "gap_id", "left")
+    shown = [
+        "ordinal",
+        "gap_id",
+        "title",
+        "explanation",
+        F.coalesce("question_ids", F.array().cast("array<string>")).alias("question_ids"),
+        _zero("distinct_commenters").alias("distinct_commenters"),
+        _zero("positions").alias("positions"),
+        F.coalesce("stakeholder_types", F.array().cast("array<string>")).alias("stakeholder_types"),
+    ]
+    if not max_examples:
+        return stats.select(*shown)
     examples = gap_examples(linked, max_examples).groupBy("gap_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "rank", "position_id", "commenter_id", "display_name", "question_id", "excerpt"
         ))).alias("examples")
     )
-    return (
-        gaps.join(totals, "gap_id", "left")
-        .join(related, "gap_id", "left")
-        .join(examples, "gap_id", "left")
-        .select(
-            "ordinal",
-            "gap_id",
-            "title",
-            "explanation",
-            F.coalesce("question_ids", F.array().cast("array<string>")).alias("question_ids"),
-            _zero("distinct_commenters").alias("distinct_commenters"),
-            _zero("positions").alias("positions"),
-            F.coalesce("stakeholder_types", F.array().cast("array<string>")).alias("stakeholder_types"),
-            "examples",
-        )
-    )
+    return stats.join(examples, "gap_id", "left").select(*shown, "examples")
 
 
 def _gap_totals(linked: DataFrame) -> DataFrame:

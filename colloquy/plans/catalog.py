@@ -228,9 +228,10 @@ def blind_spot(d):
 
 @docket_query
 def signal_cards(d):
+    linked = d.kept("question_ids", "commenter_id", "submission_id", "stakeholder_type", "response_type", "position", "gap_tags")
     return stats.signal_cards(
         d.questions,
-        cut_lineage(stats.question_stats(d.question_rows, d.questions)),
-        cut_lineage(stats.gap_stats(d.linked, d.gaps)),
-        stats.stance_totals(d.linked),
+        cut_lineage(stats.question_stats(d.rolled_up(linked), d.questions)),
+        cut_lineage(stats.gap_stats(linked, d.gaps, max_examples=0)),
+        cut_lineage(stats.stance_totals(linked)),
     ).select("category", "headline", "evidence", "target_question_id")

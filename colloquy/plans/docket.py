@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import vocab
-from colloquy.operators import assemble, skew
+from colloquy.operators import assemble, skew, stats
+from colloquy.session import stored
 from colloquy.sources import driver_tables
 
 
@@ -69,6 +70,18 @@ class Docket:
         authored = assemble.authored_submissions(self.submissions, self.commenters)
         return assemble.linked_positions(self.dealt(self.positions, "submission_id"), authored)
 
+    def kept(self, *columns: str) -> DataFrame:
+        """Columns of the linked positions for readers that each take others of them,
+        and so share no exchange: the joins behind them run once."""
+        return stored(self.linked.select(*columns), "linked")
+
+    def rolled_up(self, kept: DataFrame) -> DataFrame:
+        """Question rows of ``kept`` with what the roll-up counts, dealt by submission
+        before they are many."""
+        return assemble.question_rows(self.dealt(kept.select("question_ids", *self._COUNTED), "submission_id"), stats.ROLLED_UP)
+
+    _COUNTED = tuple(assemble.QUESTION_ROW[c] for c in stats.ROLLED_UP)
+
     @cached_property
     def question_rows(self) -> DataFrame:
         return assemble.question_rows(self.linked)
