@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colloquy import vocab
 from colloquy.functions import text as T
 from colloquy.operators import stats
+from colloquy.session import stored
 
 VIEWS = ["questions", "tensions", "missed"]
 
@@ -186,7 +187,14 @@ def result_count(positions: DataFrame, questions: DataFrame, facets: Facets) ->
     """Visible questions and distinct positions on them, one row.
 
     A position on several visible questions counts once.  Its questions are in
-    one row before they are exploded, so the count needs no shuffle of ids."""
+    one row before they are exploded, so the count needs no shuffle of ids.  Two
+    passes read the positions: what they need is written once, of the search text
+    only the term, where it holds it."""
+    kept = ["question_ids", "commenter_id", "stakeholder_type", "position"]
+    if facets.term:
+        found = F.when(F.contains("haystack", F.lit(facets.term)), F.lit(facets.term)).otherwise(F.lit(""))
+        positions = positions.select(*kept, F.when(F.col("haystack").isNotNull(), found).alias("haystack"))
+    positions = stored(positions.select(*positions.columns if facets.term else kept), "searched")
     visible = view(positions, questions, facets)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("question_number") - 1)
     zero = F.lit(0).cast("bigint")
