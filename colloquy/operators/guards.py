@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from colloquy import vocab
 from colloquy.functions import text as T
 from colloquy.operators import stats
-from colloquy.session import cut_lineage
+from colloquy.session import stored
 
 STRINGS = "array<string>"
 UNSUPPORTED_NOTE = "Too few commenters on each side to compare groups on this question so far."
@@ -173,13 +173,16 @@ def _choose(given: pd.Series, sided: pd.Series, fill: pd.Series, n: pd.Series) -
     return pd.DataFrame(out, columns=["ids", "filled"])
 
 
+#: What a guard reads of question rows, besides the question.
+GUARDED = ("position_id", "commenter_id", "stakeholder_type", "submission_id", "response_type", "stance")
+
+
 def guard(claims: DataFrame, rows: DataFrame) -> DataFrame:
     """Claims after all guards, one row per claimed question, with the counts
     behind them, ``quality_flags`` and ``downgrades``."""
     asked = claims.select("question_id").distinct()
     # Facts, citations and fill all read these rows: their narrow columns are written once.
-    narrow = ["question_id", "position_id", "commenter_id", "stakeholder_type", "submission_id", "response_type", "stance"]
-    on_claimed = cut_lineage(rows.join(asked, "question_id", "left_semi").select(*narrow))
+    on_claimed = stored(rows.join(asked, "question_id", "left_semi").select("question_id", *GUARDED), "claimed")
     joined = (
         claims.join(stats.question_facts(on_claimed), "question_id", "left")
         .join(citations(cited_ids(claims, on_claimed)), "question_id", "left")
