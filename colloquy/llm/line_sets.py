@@ -31,12 +31,12 @@ CELLS, LANE = 1 << 20, 1 << 12
 FINE, MOST = 4, 90
 #: First sign of the table: a cell that counted one.
 LOWEST = 33
-#: Leads of a group at most.
-LEADS = 8
+#: Leads of a group at most; places from the end of a prefix whose words make groups.
+LEADS, COMMON = 8, (1, 3)
 #: Parts of a line's partners, of each of which the likeliest is tried first.
 PARTS = 8
 #: Words from which a line has parities of 128 bits.
-LONG_LINE = 96
+LONG_LINE = 48
 #: Ids, in rows of two longs at most, up to which a join sends them to every task.
 BROADCAST_ROWS = 500_000
 BLANKS = " \t\n\x0b\x0c\r"
@@ -132,16 +132,24 @@ def _alike(threshold: float) -> Column:
 
 
 def _in_place(threshold: float) -> Column:
-    """Positional filter at a word that ``x`` and ``y`` share: words after it, and
-    as many before it as the earlier place allows."""
+    """Positional filter at the first word that ``x`` and ``y`` share: this word and
+    those after it are all they can share.  At a word that is not the first the
+    filter may fail; a pair is met at its first one all the same."""
     nx, ny, ax, ay = (F.col(c) for c in ("x.n", "y.n", "x.at", "y.at"))
-    return F.least(nx - ax, ny - ay) + F.least(ax, ay) >= _least_overlap(nx, ny, threshold)
+    return F.least(nx - ax, ny - ay) >= _least_overlap(nx, ny, threshold)
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("tie"), "text")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``h, doc_id, tie, place, line`` of every line with words."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return _cut(_rows(docs, doc_id, text))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
     lines = rows.select("doc_id", "tie", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     return lines.filter(F.trim("line", F.lit(BLANKS)) != "").select(F.xxhash64("line").alias("h"), "doc_id", "tie", "place", "line")
 
@@ -186,11 +194,13 @@ def _distinct_lines(lines: DataFrame, rarity: Rarity, threshold: float) -> DataF
 
 
 def _met_leads(distinct: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` of a line and a lead of its group that might match it.  A
-    group shares the word of the prefix whose hash is least; it has ``LEADS`` leads
-    at most, each the earliest line of one part of the group."""
-    key = F.array_min(F.transform("keys", lambda k: F.xxhash64(k)))
-    asked = distinct.filter("size(keys) > 0").select(key.alias("key"), "first.doc_id", "id", "n", "even", "odd")
+    """Pairs ``(a, b)`` of a line and a lead of its groups that might match it.  A
+    group shares the word of the prefix whose hash is least, or one of two
+    common ones: near copies share those where the words of their own are rare.  A
+    group has ``LEADS`` leads at most, each the earliest line of one part."""
+    least = F.array_min(F.transform("keys", lambda k: F.xxhash64(k)))
+    common = [F.xxhash64(F.element_at("keys", -F.least(F.size("keys"), F.lit(back)))) for back in COMMON]
+    asked = distinct.filter("size(keys) > 0").select(F.explode(F.array_distinct(F.array(least, *common))).alias("key"), "first.doc_id", "id", "n", "even", "odd")
     part = F.pmod(F.xxhash64("id"), F.lit(LEADS)).alias("part")
     leads = asked.groupBy("key", part).agg(F.min(F.struct("doc_id", "id", "n", "even", "odd")).alias("l"))
     leads = leads.select("key", "l.id", "l.n", "l.even", "l.odd")
@@ -198,13 +208,17 @@ def _met_leads(distinct: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """``id`` of the later line of each pair ``(a, b)`` that reaches the threshold.
-    Only lines in pairs are fetched, one copy of each."""
+    Only lines in pairs are fetched, one copy of each, and only the documents that
+    hold one first are cut into lines."""
     pairs = cut_lineage(pairs.distinct())
     some = _ids(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked-lines")
     named = distinct.join(some, "id").select("id", "h", "first")
-    held = lines.select("h", "line").join(_ids(named.select("id", "h"), "wanted-lines"), "h").groupBy("id").agg(F.any_value("line").alias("line"))
+    wanted = _ids(named.select("id", "h", "first.doc_id", "first.tie"), "wanted-lines")
+    holding = _ids(wanted.select(F.xxhash64("doc_id", "tie").alias("own")).distinct(), "wanted-documents")
+    some_rows = rows.withColumn("own", F.xxhash64("doc_id", "tie")).join(holding, "own", "left_semi")
+    held = _cut(some_rows).select("h", "line").join(wanted.select("id", "h"), "h").groupBy("id").agg(F.any_value("line").alias("line"))
     texts = _stored(held.join(named.select("id", "first"), "id"), "line-texts")
     both = pairs.join(texts.alias("x"), F.col("a") == F.col("x.id")).join(texts.alias("y"), F.col("b") == F.col("y.id"))
     hashed = [F.array_distinct(F.transform(words(F.col(c)), lambda w: F.xxhash64(w))).alias(t) for c, t in (("x.line", "s"), ("y.line", "t"))]
@@ -213,16 +227,20 @@ def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame, threshold
     return both.filter(enough).select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
-def _index(distinct: DataFrame) -> DataFrame:
+def _index(distinct: DataFrame, asks: Column) -> DataFrame:
+    """A row for each word of a prefix that may be shared; ``asks``: 1 where the line
+    looks for partners, 0 where it is only a partner."""
     doc = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
-    placed = distinct.select("id", doc.alias("doc"), "n", "even", "odd", "skip", F.posexplode("keys").alias("pos", "token"))
-    return placed.select("token", "id", "doc", "n", "even", "odd", (F.col("pos") + F.col("skip")).alias("at"))
+    placed = distinct.select("id", doc.alias("doc"), "n", "even", "odd", "skip", asks.alias("asks"), F.posexplode("keys").alias("pos", "token"))
+    return placed.select("token", "id", "doc", "n", "even", "odd", (F.col("pos") + F.col("skip")).alias("at"), "asks")
 
 
 def _met(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, differ``: lines of ``x`` and other lines of ``y``, of no later
-    document, that may match; once for each word they share in their prefixes."""
-    fits = (F.col("x.id") != F.col("y.id")) & (F.col("y.doc") <= F.col("x.doc")) & _alike(threshold) & _in_place(threshold)
+    """``a, b, differ``: asking lines of ``x`` and other lines of ``y``, of no later
+    document, that may match; once for each word that may be the first they share."""
+    # That x asks, told by a column of both sides: with one index on both, Spark shuffles it once.
+    asking = 2 * F.col("x.asks") + F.col("y.asks") > 1
+    fits = (F.col("x.id") != F.col("y.id")) & (F.col("y.doc") <= F.col("x.doc")) & asking & _alike(threshold) & _in_place(threshold)
     differ = F.bit_count(F.col("x.even").bitwiseXOR(F.col("x.odd")).bitwiseXOR(F.col("y.even")).bitwiseXOR(F.col("y.odd")))
     return x.alias("x").join(y.alias("y"), "token").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), differ.alias("differ"))
 
@@ -243,31 +261,31 @@ def _likeliest(met: DataFrame) -> DataFrame:
 
 def _repeated(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataFrame:
     """``repeated_lines``; repeated rows give repeated places."""
-    lines = _lines(docs, doc_id, text)
+    rows = _rows(docs, doc_id, text)
+    lines = _cut(rows)
     distinct = _distinct_lines(lines, _rarity(docs.select(F.col(f"`{text}`").alias("text"))), threshold)
-    settled = _ids(_verified(_met_leads(distinct, threshold), distinct, lines, threshold), "settled-lines")
+    settled = _ids(_verified(_met_leads(distinct, threshold), distinct, rows, threshold), "settled-lines")
 
     # Lines still open meet each other and, as partners, the settled ones.
-    open_, done = _index(distinct.join(settled, "id", "left_anti")), _index(distinct.join(settled, "id", "left_semi"))
-    likely = cut_lineage(_likeliest(_met(open_, open_, threshold).unionByName(_met(open_, done, threshold))))
-    found = _ids(_verified(likely.select("a", F.explode("best").alias("b")), distinct, lines, threshold), "found-lines")
+    open_ = F.col("done").isNull().cast("int")
+    every = _index(distinct.join(settled.withColumn("done", F.lit(True)), "id", "left"), open_)
+    likely = cut_lineage(_likeliest(_met(every, every, threshold)))
+    found = _ids(_verified(likely.select("a", F.explode("best").alias("b")), distinct, rows, threshold), "found-lines")
     gone = settled.unionByName(found)
     # Lines with more partners than were tried, none of which settled them, meet all.
     left = _ids(likely.filter("NOT every").select(F.col("a").alias("id")).join(found, "id", "left_anti"), "left-lines")
     if not left.isEmpty():
-        asking = _index(distinct.join(left, "id", "left_semi"))
+        asking = _index(distinct.join(left, "id", "left_semi"), F.lit(1))
         tokens = _ids(asking.select("token").distinct(), "left-words")
-        rest = _met(asking, _index(distinct).join(tokens, "token", "left_semi"), threshold).select("a", "b")
-        gone = gone.unionByName(_verified(rest, distinct, lines, threshold))
+        rest = _met(asking, _index(distinct, F.lit(0)).join(tokens, "token", "left_semi"), threshold).select("a", "b")
+        gone = gone.unionByName(_verified(rest, distinct, rows, threshold))
     gone = _ids(gone.distinct(), "gone")
 
     # Equal lines: all but the first go; the first goes when another set matched it.
-    narrow = distinct.select("id", "h", "first", "copies")
-    matched = _ids(narrow.join(gone, "id", "left_semi").select("h"), "gone-lines")
-    copied = _ids(narrow.filter("copies > 1").join(gone, "id", "left_anti").select("h", "first"), "copied-lines")
-    places = lines.select("h", "doc_id", "tie", "place")
-    later = places.join(copied, "h").filter(F.struct("doc_id", "tie", "place") > F.col("first"))
-    return places.join(matched, "h", "left_semi").unionByName(later.select(*places.columns)).select("doc_id", "tie", "place")
+    narrow = distinct.select("id", "h", "first", "copies").join(gone.withColumn("goes", F.lit(True)), "id", "left")
+    meant = _ids(narrow.filter("goes OR copies > 1").select("h", F.when(F.col("goes").isNull(), F.col("first")).alias("after")), "gone-lines")
+    places = lines.select("h", "doc_id", "tie", "place").join(meant, "h")
+    return places.filter(F.col("after").isNull() | (F.struct("doc_id", "tie", "place") > F.col("after"))).select("doc_id", "tie", "place")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
