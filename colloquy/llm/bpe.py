@@ -18,6 +18,7 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than the blank and the line end.
 _RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SLICE, _RUN = 4096, 256
+_HELD_WORDS = 1 << 18
 
 
 def words(text: str) -> list[str]:
@@ -37,16 +38,37 @@ def tokenizer(path: str):
     return found
 
 
-def encode_words(path: str, words: list[str]) -> pa.ListArray:
+def _in_runs(words: pa.LargeStringArray) -> np.ndarray:
+    """Whether each word opens with a blank and then no white space."""
+    places, raw = _bytes(words)
+    at, long = places[:-1], np.diff(places) > 1
+    found = long.copy()
+    found[long] = raw[at[long]] == 0x20
+    second = raw[at[found] + 1]
+    unsure = np.flatnonzero(found)[~_OPENS[second]]
+    found[unsure] = [not w[1].isspace() for w in words.take(pa.array(unsure)).to_pylist()]
+    return found
+
+
+def _bytes(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and the last one ends, in the bytes of them all."""
+    if not len(words):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    places = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return places, np.frombuffer(words.buffers()[2] or b"", np.uint8)
+
+
+def encode_words(path: str, words: list[str] | pa.Array) -> pa.ListArray:
     """Ids of each word, by the library.
 
     Words that open with a blank and then no white space are encoded in runs,
     each as one text: the library itself parts them there, and the lengths of
     the pieces tell whose ids are whose."""
-    runs = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-    in_run = np.zeros(len(words), bool)
-    in_run[runs] = True
-    alone = np.flatnonzero(~in_run).tolist()
+    words = pa.array(words, pa.large_string()) if isinstance(words, list) else words.cast(pa.large_string())
+    in_run = _in_runs(words)
+    runs, alone = np.flatnonzero(in_run), np.flatnonzero(~in_run)
+    joined, lonely = words.take(pa.array(runs)), words.take(pa.array(alone))
+    places, raw = _bytes(joined)
     sizes, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
 
     def keep(own: list[list[int]]) -> None:
@@ -54,23 +76,44 @@ def encode_words(path: str, words: list[str]) -> pa.ListArray:
         flat.append(np.fromiter((i for ids in own for i in ids), np.uint32, int(sizes[-1].sum())))
 
     for at in range(0, len(runs), _RUN):
-        run = [words[i] for i in runs[at : at + _RUN]]
-        ids = np.array(tokenizer(path).encode("".join(run), add_special_tokens=False).ids, np.uint32)
-        ends, wanted = np.cumsum(piece_lengths(path)[ids]), np.cumsum([len(w.encode()) for w in run])
+        own = places[at : at + _RUN + 1]
+        text = raw[own[0] : own[-1]].tobytes().decode()
+        ids = np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+        ends, wanted = np.cumsum(piece_lengths(path)[ids]), own[1:] - own[0]
         last = np.searchsorted(ends, wanted)
         if last[-1] != len(ids) - 1 or (ends[last] != wanted).any():
-            keep([e.ids for e in tokenizer(path).encode_batch(run, add_special_tokens=False)])
+            keep([e.ids for e in tokenizer(path).encode_batch(joined.slice(at, _RUN).to_pylist(), add_special_tokens=False)])
             continue
         sizes.append(np.diff(last, prepend=-1).astype(np.int32))
         flat.append(ids)
     for at in range(0, len(alone), _SLICE):
-        keep([e.ids for e in tokenizer(path).encode_batch([words[i] for i in alone[at : at + _SLICE]], add_special_tokens=False)])
+        keep([e.ids for e in tokenizer(path).encode_batch(lonely.slice(at, _SLICE).to_pylist(), add_special_tokens=False)])
     offsets = np.append(np.int32(0), np.cumsum(np.concatenate(sizes), dtype=np.int32))
     place = np.empty(len(words), np.int64)
-    place[runs + alone] = np.arange(len(words))
+    place[np.concatenate([runs, alone])] = np.arange(len(words))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat))).take(pa.array(place))
 
 
+#: By vocabulary, words of the blocks a worker had before, and their ids.
+_HELD: dict[str, tuple[pa.Array, pa.ListArray]] = {}
+
+
+def encode_distinct(path: str, words: pa.Array) -> pa.ListArray:
+    """``encode_words`` for distinct words of a block; about half of them a worker
+    has met in its last blocks.  It holds ``_HELD_WORDS`` of them at most, or one
+    block's."""
+    words = words.cast(pa.large_string())
+    known, ids = _HELD.get(path, (words.slice(0, 0), pa.array([], pa.list_(pa.uint32()))))
+    at = pc.index_in(words, value_set=known)
+    new = words.filter(pc.is_null(at))
+    every = pa.concat_arrays([ids, encode_words(path, new)])
+    place = at.fill_null(0).to_numpy().astype(np.int64)
+    place[at.is_null().to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(new))
+    found = every.take(pa.array(place))
+    _HELD[path] = (pa.concat_arrays([known, new]), every) if len(every) <= _HELD_WORDS else (words, found)
+    return found
+
+
 #: Bytes that open a character which is surely no white space.
 _OPENS = np.ones(256, bool)
 _OPENS[:0x21] = _OPENS[[0xC2, 0xE1, 0xE2, 0xE3]] = False

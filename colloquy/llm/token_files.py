@@ -85,7 +85,7 @@ def _encode(path: str, end_id: int | None):
         doc_id = rows["doc_id"].combine_chunks()
         number = words.dictionary_encode()
         del rows, words
-        ids_of = bpe.encode_words(path, number.dictionary.to_pylist())
+        ids_of = bpe.encode_distinct(path, number.dictionary)
         number = number.indices.to_numpy()
         if end_id is not None:
             number = np.insert(number, first[1:], len(ids_of))
