@@ -14,6 +14,8 @@ a bucket receives it at most once from each block.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,15 @@ def pack(df: DataFrame, assign=None, level: int = LEVEL) -> DataFrame:
     return df.mapInArrow(rows, "block int, blob binary")
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: Python workers serve one task after the
+    other, and Arrow and the C library keep what a large block took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def to_blob(table: pa.Table, level: int = LEVEL) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec(CODEC, compression_level=level))) as writer:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe
-from colloquy.llm.blocks import blobs, block_count, from_blob, hashed_block, pack, to_blob
+from colloquy.llm.blocks import blobs, block_count, from_blob, give_back, hashed_block, pack, to_blob
 
 
 def _texts(part: pa.Table):
@@ -45,6 +45,7 @@ def _dealt(words: list[str], buckets: int) -> dict[int, list[str]]:
 
 def _ask(buckets: int):
     def ask(docs: pa.Table) -> pa.Table:
+        give_back()
         block = docs["block"][0].as_py()
         dealt = sorted(_dealt(sorted(_numbered(docs).place), buckets).items())
         return pa.table({
@@ -59,6 +60,7 @@ def _answer(path: str):
     """Encode each distinct word of a bucket once."""
 
     def answer(asked: pa.Table) -> pa.Table:
+        give_back()
         words = [from_blob(w.as_buffer())["word"].combine_chunks() for w in asked["words"]]
         every = pa.concat_arrays(words).dictionary_encode()
         ids = bpe.encode_words(path, every.dictionary.to_pylist())
@@ -74,6 +76,7 @@ def _answer(path: str):
 
 def _encode(path: str, buckets: int, with_ids: bool):
     def encode(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "decoded_equal": [], "ids": []}
         if docs.num_rows:
             held = _numbered(docs)
@@ -95,6 +98,8 @@ def _encode(path: str, buckets: int, with_ids: bool):
                     out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                     out["decoded_equal"].append(decoded == (text or "").encode())
                     out["ids"].append(ids.view(np.int32) if with_ids else None)
+            del held, texts, dealt, parts, ids_of, asked
+            give_back()
         return pa.table({
             "doc_id": pa.array(out["doc_id"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
             "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string()),

@@ -25,9 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.blocks import give_back
+
 #: Terms that name groups, by kind and language (English, French, German, Spanish); parameters may replace them.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"),
@@ -47,7 +50,7 @@ IDENTITY_TERMS = (
 )
 _WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (4, 5, 6)
-_CACHE_MOST = 200_000
+_CACHE_MOST, _SLICE = 50_000, 256
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -195,17 +198,15 @@ def descend(n: int, rows: list[list[int]], y: np.ndarray, pairs, bias: float, pe
     return weights, bias
 
 
-def toxicity(text: Column, model: Model) -> Column:
-    """Score from 0 to 1 of each whole text; null is scored as empty."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[str, ...]] = {}
-        weights, out = model.weights, []
-        for text in texts:
-            if model.bias == -math.inf:
-                out.append(0.0)
-                continue
+def scores(texts: pa.Array, model: Model) -> pa.Array:
+    """Score of each whole text; null is scored as empty.  A batch of whole texts
+    is large, so a few of them are Python strings at a time."""
+    if model.bias == -math.inf:
+        return pa.array(np.zeros(len(texts)))
+    known: dict[str, tuple[str, ...]] = {}
+    weights, out = model.weights, []
+    for at in range(0, len(texts), _SLICE):
+        for text in texts.slice(at, _SLICE).to_pylist():
             seen: set[str] = set()
             for w in words_of(text):
                 hit = known.get(w)
@@ -217,7 +218,16 @@ def toxicity(text: Column, model: Model) -> Column:
                     seen.update(hit)
             raw = model.bias + sum(weights[f] for f in sorted(seen))
             out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, raw)))))
-        return pd.Series(out, dtype="float64")
+    return pa.array(out, pa.float64())
+
+
+def toxicity(text: Column, model: Model) -> Column:
+    """Score from 0 to 1 of each whole text; null is scored as empty."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        give_back()  # what the tasks before left in this worker
+        return scores(texts, model)
 
     return score(text)
 
