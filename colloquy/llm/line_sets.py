@@ -18,21 +18,25 @@ their prefixes.
 
 from __future__ import annotations
 
+import functools
+import operator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.shared import fresh_name, shared_folder
 from colloquy.session import cut_lineage
 
-#: Cells of the rarity table, cells to a row while it is gathered; steps to a doubling of the count, and the last step.
-CELLS, LANE = 1 << 20, 1 << 12
+#: Cells of the rarity table; steps to a doubling of the count, and the last step.
+CELLS = 1 << 20
 FINE, MOST = 4, 90
 #: First sign of the table: a cell that counted one.
 LOWEST = 33
-#: Leads of a group at most; places from the end of a prefix whose words make groups.
-LEADS, COMMON = 8, (1, 3)
+#: Leads of a group at most, lines of a part of a group that has one; places from the end of a prefix whose words make groups.
+LEADS, FEW, COMMON = 8, 3, (1, 3)
 #: Parts of a line's partners, of each of which the likeliest is tried first.
 PARTS = 8
 #: Words from which a line has parities of 128 bits.
@@ -42,11 +46,17 @@ BROADCAST_ROWS = 500_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def _other_blanks(text: Column) -> Column:
+    """Whether white space occurs that is neither blank nor line end; looked up byte
+    by byte, which takes a fraction of a pattern's time."""
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
+
+
 def words(line: Column) -> Column:
     """``[^\\x20\\x09-\\x0D]+`` in order; a blank line gives one empty string.
     Where all white space is single blanks, a plain cut does."""
-    trimmed = F.trim(line, F.lit(BLANKS))
-    return F.when(F.contains(line, F.lit("  ")) | line.rlike("[\\t-\\r]"), F.split(trimmed, "[ \\t-\\r]+", -1)).otherwise(F.split(trimmed, " ", -1))
+    unlike = F.contains(line, F.lit("  ")) | _other_blanks(line)
+    return F.when(unlike, F.split(F.trim(line, F.lit(BLANKS)), "[ \\t-\\r]+", -1)).otherwise(F.split(F.trim(line), " ", -1))
 
 
 def _cell(h: Column) -> Column:
@@ -54,7 +64,7 @@ def _cell(h: Column) -> Column:
 
 
 class Rarity(NamedTuple):
-    """One row with a binary ``table`` of one byte a cell: ``LOWEST`` where one word
+    """One row with an array ``table`` of one byte a cell: ``LOWEST`` where one word
     fell on the cell, then steps of the logarithm of the count.  About a third of
     all words lie below the step ``third``.
 
@@ -67,28 +77,25 @@ class Rarity(NamedTuple):
 
 def _rarity(rows: DataFrame) -> Rarity:
     """Counted over all whole texts."""
-    word = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(words(F.col("line"))).alias("w")).filter("w <> ''")
+    plain = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1)
+    every = F.when(_other_blanks(F.col("text")), F.split("text", "[ \\t-\\r]+", -1)).otherwise(plain)
+    word = rows.select(F.explode(every).alias("w")).filter("w <> ''")
     counts = word.groupBy(_cell(F.xxhash64("w")).alias("c")).agg(F.count("*").alias("n"))
-    step = F.least(F.floor(F.log2("n") * FINE), F.lit(MOST)).cast("int")
-    signs = counts.select(F.floor(F.col("c") / LANE).cast("int").alias("lane"), F.struct((F.col("c") % LANE).alias("at"), F.char(step + LOWEST).alias("sign")).alias("s"))
-    held = signs.groupBy("lane").agg(F.collect_list("s").alias("held")).select("lane", F.array_sort("held").alias("held"))
-    gap = lambda s, i: s["at"] - F.coalesce(F.get("held", i - 1)["at"], F.lit(-1)) - 1
-    runs = F.transform("held", lambda s, i: F.concat(F.repeat(F.lit(chr(LOWEST)), gap(s, i)), s["sign"]))
-    table = bytearray([LOWEST]) * CELLS
-    for r in held.select("lane", F.array_join(runs, "").alias("signs")).collect():  # CELLS / LANE rows at most
-        table[r.lane * LANE : r.lane * LANE + len(r.signs)] = r.signs.encode()
-    words_at = [table.count(sign) * 2 ** ((sign - LOWEST) / FINE) for sign in range(LOWEST, LOWEST + MOST + 1)]
-    below = [sum(words_at[:i]) for i in range(len(words_at))]
-    stored = _stored(rows.sparkSession.createDataFrame([(bytes(table),)], "table binary").coalesce(1), "rarity")
-    return Rarity(stored, LOWEST + sum(b <= sum(words_at) / 3 for b in below) - 1)
+    step = F.least(F.floor(F.log2("n") * FINE), F.lit(MOST)).cast("tinyint")
+    steps = counts.filter("n > 1").select("c", step.alias("step")).toArrow()  # CELLS rows of five bytes at most
+    table = np.full(CELLS, LOWEST, np.int8)
+    table[steps["c"].to_numpy()] = LOWEST + steps["step"].to_numpy()
+    words_at = np.bincount(table - LOWEST, minlength=MOST + 1) * 2 ** (np.arange(MOST + 1) / FINE)
+    below = np.cumsum(words_at) - words_at
+    held = rows.sparkSession.createDataFrame(pa.table({"table": pa.array([table], pa.list_(pa.int8()))}))
+    return Rarity(_stored(held.coalesce(1), "rarity"), LOWEST + int((below <= words_at.sum() / 3).sum()) - 1)
 
 
 def _tokens(line: Column, table: Column) -> Column:
     """The distinct words of a line as longs: step of rarity, then 56 bits of
     hash; rarer ones are smaller."""
     def token(h):
-        sign = F.ascii(F.substring(table, _cell(h) + 1, 1).cast("string")).cast("long")
-        return F.shiftleft(sign, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.get(table, _cell(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.transform(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), token)
 
@@ -151,7 +158,8 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _cut(rows: DataFrame) -> DataFrame:
     lines = rows.select("doc_id", "tie", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return lines.filter(F.trim("line", F.lit(BLANKS)) != "").select(F.xxhash64("line").alias("h"), "doc_id", "tie", "place", "line")
+    blank = (F.trim("line") == "") | (_other_blanks(F.col("line")) & (F.trim("line", F.lit(BLANKS)) == ""))
+    return lines.filter(~blank).select(F.xxhash64("line").alias("h"), "doc_id", "tie", "place", "line")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -193,17 +201,23 @@ def _distinct_lines(lines: DataFrame, rarity: Rarity, threshold: float) -> DataF
     ), "distinct-lines")
 
 
+def _doc() -> Column:
+    return F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("doc")
+
+
 def _met_leads(distinct: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` of a line and a lead of its groups that might match it.  A
     group shares the word of the prefix whose hash is least, or one of two
     common ones: near copies share those where the words of their own are rare.  A
-    group has ``LEADS`` leads at most, each the earliest line of one part."""
+    group has ``LEADS`` leads at most, each the earliest line of one part of
+    ``FEW`` lines or more; lines of smaller groups are left to the join on all words."""
     least = F.array_min(F.transform("keys", lambda k: F.xxhash64(k)))
     common = [F.xxhash64(F.element_at("keys", -F.least(F.size("keys"), F.lit(back)))) for back in COMMON]
-    asked = distinct.filter("size(keys) > 0").select(F.explode(F.array_distinct(F.array(least, *common))).alias("key"), "first.doc_id", "id", "n", "even", "odd")
+    asked = distinct.filter("size(keys) > 0").select(F.explode(F.array_distinct(F.array(least, *common))).alias("key"), _doc(), "id", "n", "even", "odd")
     part = F.pmod(F.xxhash64("id"), F.lit(LEADS)).alias("part")
-    leads = asked.groupBy("key", part).agg(F.min(F.struct("doc_id", "id", "n", "even", "odd")).alias("l"))
-    leads = leads.select("key", "l.id", "l.n", "l.even", "l.odd")
+    # Of one row all four: they follow the same column, row by row. No struct, which Spark would sort for.
+    leads = asked.groupBy("key", part).agg(F.count("*").alias("lines"), *[F.min_by(c, "doc").alias(c) for c in ("id", "n", "even", "odd")])
+    leads = _ids(leads.filter(F.col("lines") >= FEW).select("key", "id", "n", "even", "odd"), "leads")
     met = asked.alias("x").join(leads.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & _alike(threshold))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -219,10 +233,11 @@ def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, threshold:
     holding = _ids(wanted.select(F.xxhash64("doc_id", "tie").alias("own")).distinct(), "wanted-documents")
     some_rows = rows.withColumn("own", F.xxhash64("doc_id", "tie")).join(holding, "own", "left_semi")
     held = _cut(some_rows).select("h", "line").join(wanted.select("id", "h"), "h").groupBy("id").agg(F.any_value("line").alias("line"))
-    texts = _stored(held.join(named.select("id", "first"), "id"), "line-texts")
-    both = pairs.join(texts.alias("x"), F.col("a") == F.col("x.id")).join(texts.alias("y"), F.col("b") == F.col("y.id"))
-    hashed = [F.array_distinct(F.transform(words(F.col(c)), lambda w: F.xxhash64(w))).alias(t) for c, t in (("x.line", "s"), ("y.line", "t"))]
-    both = both.select("a", "b", F.col("x.first").alias("af"), F.col("y.first").alias("bf"), *hashed)
+    # A line in many pairs is cut into words once.
+    sets = held.select("id", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
+    sets = _stored(sets.join(named.select("id", "first"), "id"), "line-sets")
+    both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), F.col("b") == F.col("y.id"))
+    both = both.select("a", "b", F.col("x.first").alias("af"), F.col("y.first").alias("bf"), F.col("x.words").alias("s"), F.col("y.words").alias("t"))
     enough = F.size(F.array_intersect("s", "t")) >= _least_overlap(F.size("s"), F.size("t"), threshold)
     return both.filter(enough).select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
@@ -230,8 +245,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, threshold:
 def _index(distinct: DataFrame, asks: Column) -> DataFrame:
     """A row for each word of a prefix that may be shared; ``asks``: 1 where the line
     looks for partners, 0 where it is only a partner."""
-    doc = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
-    placed = distinct.select("id", doc.alias("doc"), "n", "even", "odd", "skip", asks.alias("asks"), F.posexplode("keys").alias("pos", "token"))
+    placed = distinct.select("id", _doc(), "n", "even", "odd", "skip", asks.alias("asks"), F.posexplode("keys").alias("pos", "token"))
     return placed.select("token", "id", "doc", "n", "even", "odd", (F.col("pos") + F.col("skip")).alias("at"), "asks")
 
 
@@ -307,7 +321,7 @@ def line_report(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id",
     own = F.col(f"`{text}`")
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("tie"),
-        F.greatest(F.coalesce(F.size(F.split(own, "\n", -1)), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
     )
     joined = rows.alias("r").join(gone.alias("g"), F.expr("r.doc_id <=> g.gone_id AND r.tie = g.gone_tie"), "left")
     return joined.select(

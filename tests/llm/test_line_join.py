@@ -1,5 +1,6 @@
 """The prefix join of line dedup makes few rows of a large group of near copies."""
 import random
+import re
 
 from colloquy.llm import line_sets
 
@@ -45,3 +46,36 @@ def test_index_is_shuffled_once(spark):
         assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_small_groups_have_no_leads(spark):
+    """Lines that share words with a few others only are not met twice, and each pair of them is found all the same."""
+    rows = [(i, " ".join([f"g{i // 3}x{j}" for j in range(12)] + [f"own{i % 3}"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = line_sets._distinct_lines(line_sets._lines(docs, "doc_id", "text"), line_sets._rarity(docs.select("text")), 0.8)
+    assert line_sets._met_leads(distinct, 0.8).count() == 0
+    got = {r.doc_id for r in line_sets.repeated_lines(docs).collect()}
+    assert got == {i for i in range(60) if i % 3}
+
+
+def test_words_and_line_counts_of_any_white_space(spark):
+    texts = ["", " ", "a", " a b ", "a  b", "\ta\x0bb\x0cc\rd ", "a\rb", "\r", " \t ", "é ö a", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.i: r.w for r in spark.createDataFrame(rows, "i long, t string").select("i", line_sets.words(line_sets.F.col("t")).alias("w")).collect()}
+    for i, t in rows:
+        assert got[i] == (None if t is None else re.findall(r"[^\x20\x09-\x0D]+", t) or [""])
+    many = [(i, t) for i, t in enumerate(["", "\n", "a\n", "\n\na\nä\n", None, "x"])]
+    found = {r.doc_id: r.n_lines for r in line_sets.line_report(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert found == {i: 0 if t is None else len(t.split("\n")) for i, t in many}
+
+
+def test_rarity_counts_every_word(spark):
+    """One byte a cell: its lowest sign for a word met once, more for others; no Python runs in a task for it."""
+    docs = spark.createDataFrame([("a b\nb c\tc c",), ("c\x0bd  a\n\nb",), (None,)], "text string")
+    rarity = line_sets._rarity(docs)
+    counts = {"a": 2, "b": 3, "c": 4, "d": 1, "none": 0}
+    h = line_sets.F.xxhash64("w")
+    at = {r.w: r.c for r in spark.createDataFrame([(w,) for w in counts], "w string").select("w", line_sets._cell(h).alias("c")).collect()}
+    table = rarity.rows.first().table
+    assert len(table) == line_sets.CELLS
+    assert {w: table[c] for w, c in at.items()} == {"a": 33 + 4, "b": 33 + 6, "c": 33 + 8, "d": 33, "none": 33}
