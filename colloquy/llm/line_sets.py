@@ -217,7 +217,7 @@ def _met_leads(distinct: DataFrame, threshold: float) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.lit(LEADS)).alias("part")
     # Of one row all four: they follow the same column, row by row. No struct, which Spark would sort for.
     leads = asked.groupBy("key", part).agg(F.count("*").alias("lines"), *[F.min_by(c, "doc").alias(c) for c in ("id", "n", "even", "odd")])
-    leads = _ids(leads.filter(F.col("lines") >= FEW).select("key", "id", "n", "even", "odd"), "leads")
+    leads = leads.filter(F.col("lines") >= FEW).select("key", "id", "n", "even", "odd")
     met = asked.alias("x").join(leads.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & _alike(threshold))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
