@@ -8,6 +8,7 @@ score the ones that are left.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,35 +30,78 @@ _WINDOW = MIN_RUN - GRAM + 1
 _HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Characters whose fingerprints are taken at once: bounds memory, not results.
+PRINT_CHARS = 1 << 16
+
+
 def fingerprint_text(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints, and where the characters their windows cover start and stop."""
-    codes = np.frombuffer(text.encode("ascii"), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    if len(codes) < MIN_RUN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return fingerprint_texts([text])[:3]
+
+
+def fingerprint_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of many texts one after the other, where their windows start
+    and stop in the text, and how many each text has."""
+    parts, some, chars = [], [], 0
+    for text in texts:
+        if some and chars + len(text) > PRINT_CHARS:
+            parts.append(_fingerprints_at_once(some))
+            some, chars = [], 0
+        some.append(text)
+        chars += len(text)
+    parts.append(_fingerprints_at_once(some))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _fingerprints_at_once(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    whole = np.maximum(lengths - MIN_RUN + 1, 0)
+    codes = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    if not whole.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     grams = np.zeros(len(codes) - GRAM + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for offset in range(GRAM):
-            grams = grams * _HASH_BASE + codes[offset:offset + len(grams)]
+            grams *= _HASH_BASE
+            grams += codes[offset:offset + len(grams)]
         grams ^= grams >> np.uint64(29)
         grams *= _HASH_BASE
         grams ^= grams >> np.uint64(32)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, _WINDOW)
-    chosen = windows.argmin(axis=1) + np.arange(len(windows))
-    first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+    # The first of the least grams of every window, then only windows within one text.
+    least = grams[:len(grams) - _WINDOW + 1].copy()
+    ahead = np.zeros(len(least), dtype=np.int64)
+    for step in range(1, _WINDOW):
+        later = grams[step:step + len(least)]
+        lower = later < least
+        np.copyto(least, later, where=lower)
+        np.copyto(ahead, step, where=lower)
+    chosen = np.arange(len(least)) + ahead
+    holder = np.repeat(np.arange(len(texts)), whole)
+    opens = np.cumsum(whole) - whole
+    place = np.arange(len(holder)) - opens[holder]
+    chosen = chosen[(np.cumsum(lengths) - lengths)[holder] + place]
+    first = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (holder[1:] != holder[:-1])])
     last = np.r_[first[1:] - 1, len(chosen) - 1]
-    values = grams[chosen[first]].astype(np.int64)
-    return values, first.astype(np.int32), (last + MIN_RUN).astype(np.int32)
+    return (
+        grams[chosen[first]].astype(np.int64), place[first].astype(np.int32), (place[last] + MIN_RUN).astype(np.int32),
+        np.bincount(holder[first], minlength=len(texts)),
+    )
+
+
+_SHARED = ["submission_id", "segment_id", "stance", "mask", "text_id", "chars", "passage", "fp", "start", "stop"]
 
 
 def _sharing(rows: pd.DataFrame) -> pd.DataFrame:
     """Rows whose text shares a fingerprint with another text of their
     submission, or is held by several rows.  The first row of a text carries the
     text and the fingerprints it shares."""
+    rows = rows[rows.passage.str.len() >= MIN_RUN]
+    if not len(rows):
+        return pd.DataFrame(columns=_SHARED, dtype=object)
     text = rows.groupby(["submission_id", "passage"], sort=False).ngroup().to_numpy()
     first, copies = np.unique(text, return_index=True, return_counts=True)[1:]
-    prints = [fingerprint_text(t) for t in rows.passage.iloc[first]]
-    holder = np.repeat(np.arange(len(first)), [len(p[0]) for p in prints])
-    columns = [np.concatenate(c) for c in zip(*prints)]
+    *columns, held = fingerprint_texts(rows.passage.iloc[first].tolist())
+    holder = np.repeat(np.arange(len(first)), held)
     group = pd.factorize(rows.submission_id.iloc[first])[0][holder]
     order = np.lexsort((holder, columns[0], group))
     key, part, own = columns[0][order], group[order], holder[order]
@@ -201,54 +245,102 @@ _PLACE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 
 
 def _letter_counts(texts) -> np.ndarray:
-    counts = np.zeros((len(texts), len(_ALPHABET)), dtype=np.int32)
-    for row, text in enumerate(texts):
-        codes = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
-        counts[row] = np.bincount(_PLACE[codes], minlength=len(_ALPHABET))
-    return counts
-
-
-def _compare_tiles(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
-    """Matching summaries of two tiles.  Length and letter counts bound the
-    score of all pairs at once; the rest are scored one by one."""
+    size = len(_ALPHABET)
+    codes = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(rows * size + _PLACE[codes], minlength=len(texts) * size).reshape(-1, size).astype(np.int32)
+
+
+class _Beside:
+    """Texts laid side by side as the bits of one number, with an empty bit after
+    each that ends its carries: a text's longest common subsequences with all of
+    them are found in one walk over its characters."""
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer("".join(t + "\0" for t in texts).encode("ascii"), dtype=np.uint8)
+        self.sizes = np.array([len(t) for t in texts])
+        self.opens = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.bits = len(codes)
+        self.full = self._number(codes != 0)
+        self.masks = {chr(c): self._number(codes == c) for c in np.unique(codes[codes != 0])}
+
+    @staticmethod
+    def _number(bits: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def common(self, text: str, first: int) -> np.ndarray:
+        """``common_subsequence`` of ``text`` with each text from the ``first`` on."""
+        low = int(self.opens[first])
+        masks = {c: self.masks[c] >> low for c in set(text) if c in self.masks}
+        full = self.full >> low
+        state = full
+        for char in text:
+            if char in masks:
+                hit = state & masks[char]
+                state = ((state + hit) | (state - hit)) & full
+        bits = self.bits - low
+        left = np.unpackbits(np.frombuffer(state.to_bytes(-(-bits // 8), "little"), dtype=np.uint8), count=bits, bitorder="little")
+        return self.sizes[first:] - np.add.reduceat(left, self.opens[first:] - low, dtype=np.int64)
+
+
+def _compare_tiles(rows: dict[str, list], counts: np.ndarray, low: int, high: int) -> list[tuple]:
+    """Matching summaries of the two tiles in rows ``low`` to ``high``.  Length,
+    letter counts and common subsequences bound the score of many pairs at once;
+    the rest are scored one by one."""
     out = []
-    right_counts, right_chars = _letter_counts(right.summary), right.chars.to_numpy()
-    left_counts = _letter_counts(left.summary)
-    right_roots, right_ids = right.root.to_numpy(), right.text_id.to_numpy()
-    right_light = right.light.to_numpy()
-    rights = list(right.itertuples(index=False))
-    for row, x in enumerate(left.itertuples(index=False)):
-        overlap = np.minimum(right_counts, left_counts[row]).sum(axis=1)
-        need = (SUMMARY_SIMILARITY - 0.0005) * (right_chars + x.chars) / 2
-        open_pair = (right_roots != x.root) & (~right_light | (right_ids > x.text_id)) & (overlap >= need)
-        for at in np.flatnonzero(open_pair):
-            y = rights[at]
+    is_left, light, ids, texts, roots = (rows[c] for c in ("is_left", "light", "text_id", "summary", "root"))
+    # A light text meets the light ones of a later id and all heavy ones: these come last.
+    rights = sorted((r for r in range(low, high) if not is_left[r]), key=lambda r: (not light[r], ids[r]))
+    if not rights:
+        return out
+    light_ids = [ids[r] for r in rights if light[r]]
+    right_counts, right_chars = counts[rights], np.array([len(texts[r]) for r in rights])
+    right_roots, beside = np.array([roots[r] for r in rights], dtype=object), None
+    for row in range(low, high):
+        first = bisect.bisect_right(light_ids, ids[row]) if is_left[row] else len(rights)
+        if first == len(rights):
+            continue
+        x = texts[row]
+        overlap = np.minimum(right_counts[first:], counts[row]).sum(axis=1)
+        need = (SUMMARY_SIMILARITY - 0.0005) * (right_chars[first:] + len(x)) / 2
+        open_pair = (right_roots[first:] != roots[row]) & (overlap >= need)
+        met = np.flatnonzero(open_pair)
+        if len(met) > 1 + len(need) // 32:
+            beside = beside or _Beside([texts[r] for r in rights])
+            met = np.flatnonzero(open_pair & (beside.common(x, first) >= need))
+        for at in met:
+            y = rights[first + at]
             orders = []
-            if x.first_segment < y.last_segment:
-                orders.append((x.summary, y.summary, x.first_segment, y.last_segment))
-            if y.first_segment < x.last_segment:
-                orders.append((y.summary, x.summary, y.first_segment, x.last_segment))
-            for a, b, first, second in orders:
+            if rows["first_segment"][row] < rows["last_segment"][y]:
+                orders.append((x, texts[y], rows["first_segment"][row], rows["last_segment"][y]))
+            if rows["first_segment"][y] < rows["last_segment"][row]:
+                orders.append((texts[y], x, rows["first_segment"][y], rows["last_segment"][row]))
+            for a, b, one, other in orders:
                 if similarity_of(a, b, SUMMARY_SIMILARITY) is not None:
-                    out.append((x.submission_id, first, second))
+                    out.append((rows["submission_id"][row], one, other))
                     break
     return out
 
 
+_COMPARED = ["submission_id", "is_left", "light", "text_id", "summary", "root", "first_segment", "last_segment"]
+
+
 def tile_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk rows sorted by unit of work; hold one unit at a time."""
-    keys = UNIT
     held = None
 
-    def score(unit):
-        matches = _compare_tiles(unit[unit.is_left], unit[~unit.is_left])
+    def score(rows, starts, stops):
+        lists = {c: rows[c].tolist() for c in _COMPARED}
+        counts, matches = _letter_counts(lists["summary"]), []
+        for low, high in zip(starts, stops):
+            matches += _compare_tiles(lists, counts, low, high)
         return pd.DataFrame(matches, columns=["submission_id", "a", "b"])
 
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        starts = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
-        for low, high in zip(starts[:-1], starts[1:]):
-            yield score(rows.iloc[low:high])
+        starts = np.flatnonzero((rows[UNIT] != rows[UNIT].shift()).any(axis=1).to_numpy()).tolist()
+        if len(starts) > 1:
+            yield score(rows.iloc[:starts[-1]], starts[:-1], starts[1:])
         held = rows.iloc[starts[-1]:] if len(starts) else rows
     if held is not None and len(held):
-        yield score(held)
+        yield score(held, [0], [len(held)])

@@ -85,10 +85,16 @@ def passage_key(passage: Column, length: int | None = 160) -> Column:
     return words if length is None else F.substring(words, 1, length)
 
 
+# Patterns of several ranges are slow; ``translate`` leaves one range to test: after it
+# blanks are " ", and only letters, digits and blanks lie between " " and "z".
+_OTHERS = "".join(chr(c) for c in range(128) if chr(c) not in SPACES and not chr(c).isalnum())
+
+
 def match_norm(text: Column) -> Column:
     """Form in which passages are compared: ASCII letters, digits, single blanks."""
-    squeezed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"{BLANK}+", " ")
-    return F.trim(F.regexp_replace(squeezed, r"[^a-z0-9 ]+", " "))
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.translate(lowered, SPACES + _OTHERS, " " * len(SPACES) + "\x7f" * len(_OTHERS))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, " {2,}", " "), "[^ -z]+", " "))
 
 
 def slug(text: Column) -> Column:

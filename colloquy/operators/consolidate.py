@@ -125,9 +125,9 @@ def _involved(records: DataFrame) -> DataFrame:
     submission are brought together and only shared fingerprints leave the
     task.  A submission of more than ``LARGE_CHARS`` is no one task's work: its
     fingerprints are shuffled instead."""
-    rows = records.filter(F.col("submission_id").isNotNull() & (F.length("passage") >= M.MIN_RUN)).select(
-        "submission_id", "segment_id", "stance", "mask", "passage"
-    )
+    # Short passages are left out where the normalized text is at hand: a filter
+    # on it here would be pushed into the scan, and normalize every passage twice.
+    rows = records.filter(F.col("submission_id").isNotNull()).select("submission_id", "segment_id", "stance", "mask", "passage")
     # At most one row for LARGE_CHARS of input, so fit to be broadcast.
     large = cut_lineage(
         records.groupBy("submission_id").agg(F.sum("given_chars").alias("chars"))
@@ -146,7 +146,7 @@ def _involved(records: DataFrame) -> DataFrame:
 
 
 def _involved_in_large(rows: DataFrame) -> DataFrame:
-    rows = cut_lineage(_texts(rows, "passage"))
+    rows = cut_lineage(_texts(rows, "passage")).filter(F.col("chars") >= M.MIN_RUN)
     texts = rows.groupBy("submission_id", "text_id").agg(
         F.first("passage").alias("passage"), F.min("segment_id").alias("segment_id"), F.count("*").alias("copies")
     )
@@ -328,7 +328,8 @@ def near_duplicate_links(positions: DataFrame, rules=("passage", "summary")) ->
         links.append(_score_passages(_pivot_pairs(fingerprint_rows), sharing))
     if "summary" in rules:
         # Normalized summaries are read by every step: written once.
-        told = _texts(cut_lineage(_records(positions, ("summary",)).filter("summary <> ''")), "summary")
+        # Empty ones leave after that: a filter before it would make them twice.
+        told = _texts(cut_lineage(_records(positions, ("summary",))).filter("summary <> ''"), "summary")
         summaries = _text_members(told)
         links.append(_copy_links(told, summaries))
     found = cut_lineage(_union(links))
