@@ -353,7 +353,10 @@ def _union(frames):
 
 def link_evidence(links: DataFrame, positions: DataFrame) -> DataFrame:
     """Both scores and the shared questions of each link."""
-    records = _records(positions)
+    # Few positions are in a link: their texts are made once, for both ends.
+    links = cut_lineage(links)
+    ends = links.select("submission_id", F.explode(F.array("a", "b")).alias("segment_id")).distinct()
+    records = cut_lineage(_records(positions.join(ends, ["submission_id", "segment_id"], "left_semi")))
 
     def side(name):
         return records.select(

@@ -79,3 +79,14 @@ def test_passages_are_normalized_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == records._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
     assert {r.segment_id for r in found.collect()} == {"s0", "s1", "s2"}
+
+
+def test_evidence_makes_the_texts_of_linked_positions_once(spark):
+    schema = "submission_id string, segment_id string, question_ids array<string>, position string, public_summary string, source_passage string"
+    rows = [("a", f"s{i}", ["q1"], "mixed", f"Summary {i % 2}.", "Ferries that berth at the pier use shore power." + "!" * i) for i in range(4)]
+    positions = spark.createDataFrame(rows, schema)
+    links = spark.createDataFrame([("a", "s0", "s2"), ("a", "s0", "s1")], "submission_id string, a string, b string")
+    found = consolidate.link_evidence(links, positions)
+    assert "regexp_replace(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.first_segment_id, r.second_segment_id, r.passage_containment, r.summary_similarity) for r in found.collect()) == [
+        ("s0", "s1", 1.0, 0.889), ("s0", "s2", 1.0, 1.0)]
