@@ -29,7 +29,8 @@ def tidy(text: Column) -> Column:
 def cited_ids(claims: DataFrame, rows: DataFrame) -> DataFrame:
     """Every position id a claim cites that is on its question, with its
     commenter: ``side`` numbers the sides, -1 marks evidence.  One join serves
-    sides and evidence; claims are few, positions are not."""
+    sides and evidence; claims are few, positions are not, and what is cited is
+    written first: Spark then knows its size before it would shuffle positions."""
     sides = claims.select("question_id", F.posexplode("disagreement.sides").alias("side", "s")).select(
         "question_id", "side", F.col("s.summary").alias("summary"), F.posexplode("s.position_ids").alias("at", "position_id")
     )
@@ -37,7 +38,7 @@ def cited_ids(claims: DataFrame, rows: DataFrame) -> DataFrame:
         "question_id", F.lit(-1).alias("side"), F.lit(None).cast("string").alias("summary"),
         F.posexplode("evidence_position_ids").alias("at", "position_id"),
     )
-    cited = sides.unionByName(evidence)
+    cited = stored(sides.unionByName(evidence), "cited")
     return rows.select("question_id", "position_id", "commenter_id").join(cited, ["question_id", "position_id"])
 
 
@@ -177,14 +178,17 @@ def _choose(given: pd.Series, sided: pd.Series, fill: pd.Series, n: pd.Series) -
 GUARDED = ("position_id", "commenter_id", "stakeholder_type", "submission_id", "response_type", "stance")
 
 
-def guard(claims: DataFrame, rows: DataFrame) -> DataFrame:
+def guard(claims: DataFrame, rows: DataFrame, rollup: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Claims after all guards, one row per claimed question, with the counts
-    behind them, ``quality_flags`` and ``downgrades``."""
-    asked = claims.select("question_id").distinct()
+    behind them, ``quality_flags`` and ``downgrades``.  ``rollup``: the
+    ``commenter_rollup`` of the rows, where it is at hand; ``written``: the rows
+    lie written, so that reading them again costs no joins."""
+    asked = stored(claims.select("question_id").distinct(), "asked")
     # Facts, citations and fill all read these rows: their narrow columns are written once.
-    on_claimed = stored(rows.join(asked, "question_id", "left_semi").select("question_id", *GUARDED), "claimed")
+    on_claimed = rows.join(asked, "question_id", "left_semi").select("question_id", *GUARDED)
+    on_claimed = on_claimed if written else stored(on_claimed, "claimed")
     joined = (
-        claims.join(stats.question_facts(on_claimed), "question_id", "left")
+        claims.join(stats.question_facts(on_claimed) if rollup is None else stats.rolled_up_facts(rollup), "question_id", "left")
         .join(citations(cited_ids(claims, on_claimed)), "question_id", "left")
         .join(fill_candidates(on_claimed), "question_id", "left")
     )

@@ -102,7 +102,12 @@ def question_facts(rows: DataFrame) -> DataFrame:
     """What a claim about a question rests on, in one pass: counts, response
     types by distinct commenters and by positions (unknown last), and the groups
     with enough distinct commenters to be compared."""
-    totals = _question_totals(commenter_rollup(rows), ["question_id"])
+    return rolled_up_facts(commenter_rollup(rows))
+
+
+def rolled_up_facts(rollup: DataFrame) -> DataFrame:
+    """``question_facts`` of rows that ``commenter_rollup`` was made of."""
+    totals = _question_totals(rollup, ["question_id"])
     mix = _ordered_map(sorted(vocab.STAKEHOLDER_TYPES), "group")
     enough = F.map_filter(mix, lambda _, n: n >= vocab.MIN_COMMENTERS_FOR_TENSION)
     return totals.select(
