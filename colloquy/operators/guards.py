@@ -310,13 +310,13 @@ def input_fingerprint(rows: DataFrame, questions: DataFrame) -> DataFrame:
     return sums.join(asked, "question_id").select("question_id", T.content_hash(digest).alias("input_hash"))
 
 
-def published(questions: DataFrame, rows: DataFrame, records: DataFrame) -> DataFrame:
+def published(questions: DataFrame, rows: DataFrame, records: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
     """One public record per question: generated, stale or pending.
 
-    ``records`` are guarded claims with ``fresh``.  Text is cleaned again, and
+    ``records`` are guarded claims with ``fresh``; ``rollup`` as in ``guard``.  Text is cleaned again, and
     commenter ids do not leave the sides.  ``broken`` marks text whose cleanup
     was lossy."""
-    counts = stats.commenter_rollup(rows).groupBy("question_id").agg(
+    counts = (stats.commenter_rollup(rows) if rollup is None else rollup).groupBy("question_id").agg(
         F.count("*").alias("n_commenters"), F.sum("positions").alias("n_positions")
     )
     record = F.struct(*[F.col(c) for c in records.columns if c != "question_id"])
