@@ -358,7 +358,11 @@ def report(questions: DataFrame, analyses: DataFrame, linked: DataFrame) -> Data
         "question_id", "status", "saying", "dominant_response_type", "distinct_commenters",
         F.posexplode("evidence_position_ids").alias("at", "position_id"),
     )
-    facts = linked.select("position_id", "display_name", "stakeholder_type", "response_type", "public_summary")
+    # Written, so that its size is known: positions nobody cites then leave before any join.
+    wanted = stored(cited.select("position_id").distinct(), "wanted")
+    facts = linked.select("position_id", "display_name", "stakeholder_type", "response_type", "public_summary").join(
+        wanted, "position_id", "left_semi"
+    )
     return cited.join(questions.select("question_id", "question_number", "short_title"), "question_id").join(
         facts, "position_id", "left"
     )
